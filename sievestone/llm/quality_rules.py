@@ -92,13 +92,14 @@ def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def plan_cascade(measured: DataFrame, rules: Sequence[Rule], sample_rows: int = 2000, seed: int = 11) -> list[Rule]:
+def plan_cascade(docs: DataFrame, rules: Sequence[Rule], text_col: str = "text", sample_rows: int = 2000, seed: int = 11) -> list[Rule]:
     """The rules by falling rejection per cost, both measured on a sample of
-    about sample_rows rows of measured (as base_measures gives it)."""
-    total = measured.select().count()
+    about sample_rows rows of docs that pass the base."""
+    total = docs.select().count()
     if not total or len(rules) < 2:
         return list(rules)
-    sample = measured.sample(fraction=min(1.0, sample_rows / total), seed=seed).filter(~F.col("base_failed")).persist()
+    sample = docs.select(F.col(f"`{text_col}`").alias("text")).sample(fraction=min(1.0, sample_rows / total), seed=seed)
+    sample = base_measures(sample).filter(~F.col("base_failed")).persist()
     try:
         n = sample.count()
         empty = _timed(sample, F.lit(False))[1]
@@ -126,7 +127,7 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text_c
     rules in the order to apply them; by default plan_cascade() finds it.
     """
     measured = base_measures(docs, text_col)
-    ranked = [next(r for r in rules if r.name == n) for n in order] if order else plan_cascade(measured, rules, sample_rows)
+    ranked = [next(r for r in rules if r.name == n) for n in order] if order else plan_cascade(docs, rules, text_col, sample_rows)
     chain = F.when(F.col("base_failed"), F.lit("base"))
     for rule in ranked:
         chain = chain.when(F.expr(rule.reject), F.lit(rule.name))
