@@ -60,3 +60,23 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) < 0.5 * word_chars) as kept
 from f""",
 }
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id
+
+    out = language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
+QUERIES["op8_language_id"] = op8_language_id
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "leaked", F.size("leaks").alias("n_leaks"), F.transform("leaks", lambda x: x["item"]).alias("items"), F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("fewest_edits"))
+
+
+QUERIES["op7_decontamination"] = op7_decontamination
