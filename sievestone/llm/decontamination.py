@@ -98,8 +98,7 @@ class ItemIndex:
         flat, width = x.ravel(), x.shape[1]
         steps = int(n.max()) * _STRETCH
         for walk in range(-(-self.tables // _TABLES_A_WALK)):
-            rng = np.random.default_rng([self.seed, walk])
-            odd = rng.integers(1, 2**63, steps, dtype=np.uint64) | _U64(1)
+            odd = np.random.default_rng([self.seed, walk, 0]).integers(1, 2**63, steps, dtype=np.uint64) | _U64(1)
             path = np.zeros((steps, len(x)), _U64)
             at = np.zeros(len(x), np.int64)
             for j in range(steps):
@@ -107,6 +106,7 @@ class ItemIndex:
                 symbol = flat[rows * width + np.minimum(at, width - 1)] * inside
                 path[j] = symbol
                 at += ((symbol * odd[j]) >> _U64(63)).astype(np.int64) * inside
+            rng = np.random.default_rng([self.seed, walk, 1])
             for t in range(walk * _TABLES_A_WALK, min(self.tables, (walk + 1) * _TABLES_A_WALK)):
                 # Places as shares of the walk, so that windows of one size sample alike.
                 places = (rng.random(self.sampled)[:, None] * (n * _STRETCH)[None, :]).astype(np.int64)
