@@ -1,6 +1,7 @@
 """Benchmark decontamination: find benchmark items in documents under word edits.
 
-Words are runs of letters, digits and bytes above 127, A-Z lowered. An item of n
+Words are runs of letters, digits and bytes above 127, A-Z and the capitals of
+Latin-1 lowered. An item of n
 words leaks into a document if some run of the document's words is within
 floor((1 - similarity) * n) word edits of it.
 
@@ -36,6 +37,9 @@ _STRETCH = 3
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and for each document the index of its first."""
     clean = _KEEP[buf]
+    # Capitals of Latin-1 (À to Þ but for ×) too.
+    high = np.flatnonzero((clean[:-1] == 0xC3) & (clean[1:] >= 0x80) & (clean[1:] <= 0x9E) & (clean[1:] != 0x97)) + 1
+    clean[high] += 0x20
     starts, ends, first = word_spans(clean, offsets)
     return word_hashes(clean, starts, ends), first
 

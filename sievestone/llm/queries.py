@@ -80,3 +80,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_decontamination"] = op7_decontamination
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import language_model
+
+    out = language_model(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op10_language_model"] = op10_language_model
