@@ -102,6 +102,28 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit hashes of words: a polynomial in the place within the word, mixed.
+    lower: A-Z count as a-z."""
+    global _STEP_POW
+    out = np.zeros(len(starts), _U64)
+    table = _BYTE_LOWER if lower else _BYTE
+    lens = ends - starts
+    total = np.concatenate([[0], np.cumsum(lens)])
+    i = 0
+    while i < len(starts):
+        # Some 256 KB at a time, or one word.
+        j = min(len(starts), max(i + 1, int(np.searchsorted(total, total[i] + (1 << 18)))))
+        n, first = lens[i:j], total[i:j] - total[i]
+        if len(_STEP_POW) < (most := int(n.max())):
+            _STEP_POW = np.cumprod(np.concatenate([np.ones(1, _U64), np.full(most * 2, _STEP | _U64(1))]))
+        place = np.arange(total[j] - total[i]) - np.repeat(first, n)
+        term = table[buf[place + np.repeat(starts[i:j], n)]] * _STEP_POW[place]
+        out[i:j] = mix64(np.add.reduceat(term, first) + n.astype(_U64) * _U64(0xA24BAED4963EE407))
+        i = j
+    return out
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     h = h ^ (h >> _U64(32))
@@ -111,25 +133,9 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(32))
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of words: a polynomial in the place within the word, mixed.
-    lower: A-Z count as a-z."""
-    global _STEP_POW
-    if not len(starts):
-        return np.zeros(0, _U64)
-    lens = ends - starts
-    if len(_STEP_POW) < (most := int(lens.max())):
-        _STEP_POW = np.cumprod(np.concatenate([np.ones(1, _U64), np.full(most * 2, _STEP | _U64(1))]))
-    first = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    place = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    term = (_BYTE_LOWER if lower else _BYTE)[buf[place + np.repeat(starts, lens)]]
-    term = term * _STEP_POW[place]
-    return mix64(np.add.reduceat(term, first) + lens.astype(_U64) * _U64(0xA24BAED4963EE407))
-
-
 def combine(*hashes: np.ndarray) -> np.ndarray:
     """One hash of a sequence of hashes; the order counts."""
-    out = np.full(len(hashes[0]), 0x51ED270B, _U64)
+    out = np.full(np.shape(hashes[0]), 0x51ED270B, _U64)
     for h in hashes:
         out = mix64(out * _U64(0x9FB21C651E98DF25) + h)
     return out

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ._common import _U64, combine, drop_staged, learned_fold, pack, small_batches, stage, text_buffer, unpack, word_hashes, word_spans
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BUCKETS = 32
 _BINS = 48
 _END = _U64(0x6A09E667F3BCC909)
@@ -165,15 +165,15 @@ def _answer(cells: pa.Table) -> pa.Table:
     })
 
 
-def count_ngrams(docs: DataFrame, learn, text_col: str = "text", block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> tuple[DataFrame, int, int]:
+def count_ngrams(docs: DataFrame, learn, text_col: str = "text", block_bytes: int = BLOCK_BYTES, parts: int | None = None, dropped: tuple = ()) -> tuple[DataFrame, int, int]:
     """A table of blocks (rows: the documents, packed; answers: counts of all n-grams
     of the block over all learned texts), and the tokens and types learned."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), F.coalesce(learn, F.lit(False)).alias("_learn"), *[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), F.coalesce(learn, F.lit(False)).alias("_learn"), *[F.col(f"`{c}`") for c in docs.columns if c not in dropped])
     blocks = stage(rows.mapInArrow(_make_blocks(block_bytes), "block long, rows binary"), "lm-blocks")
     parts = parts or max(1, blocks.count())
-    cells = blocks.repartition(F.col("block")).mapInArrow(_ask(parts), _CELL)
+    cells = blocks.mapInArrow(_ask(parts), _CELL)
     answers = stage(cells.groupBy("part").applyInArrow(_answer, "block long, part int, uni_n binary, bi_n binary, tokens long, types long"), "lm-answers")
     tokens, types = answers.filter("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     by_block = answers.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "uni_n", "bi_n"))).alias("answers"))
@@ -273,20 +273,22 @@ def _score(model: Weights, schema: T.StructType):
     return run
 
 
-def score_texts(docs: DataFrame, learn, text_col: str = "text", block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, learn, text_col: str = "text", keep_text: bool = True, block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
     """All rows and columns of docs with n_tokens, n_known, train_tokens, base_score
     and score (base-10 logarithms of the text's probability under add-one unigrams and
     under the model). learn: a condition on docs that tells which rows to learn from.
+    keep_text: False leaves the text out of the result.
 
     A null text is empty; an empty text is its end only. Words are hashed to 64 bits.
     Without learned rows all tokens are unknown and share one uniform probability.
     Repeated rows count as often as they stand. Columns with these names are replaced.
     """
     texts = docs.filter(learn).count()
-    counted, tokens, types = count_ngrams(docs, learn, text_col, block_bytes, parts)
+    dropped = () if keep_text else (text_col,)
+    counted, tokens, types = count_ngrams(docs, learn, text_col, block_bytes, parts, dropped)
     model = learn_weights(counted, tokens, types, texts)
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in names] + [T.StructField(n, T.DoubleType() if "score" in n else T.LongType()) for n in names])
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in names + dropped] + [T.StructField(n, T.DoubleType() if "score" in n else T.LongType()) for n in names])
     return counted.select("rows", "answers").mapInArrow(_score(model, schema), schema)
 
 

@@ -85,8 +85,17 @@ QUERIES["op7_decontamination"] = op7_decontamination
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_model import language_model
 
-    out = language_model(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = language_model(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES["op10_language_model"] = op10_language_model
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3, percent=85, m=9)
+
+
+QUERIES["op9_minhash"] = op9_minhash
