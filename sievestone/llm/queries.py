@@ -99,3 +99,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_minhash"] = op9_minhash
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES["op5_html_extraction"] = op5_html_extraction
