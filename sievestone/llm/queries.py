@@ -108,3 +108,13 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_html_extraction"] = op5_html_extraction
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import quality_classifier
+
+    out = quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_features", "score", "sample_key", "kept")
+
+
+QUERIES["op4_quality_classifier"] = op4_quality_classifier
