@@ -118,3 +118,17 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_quality_classifier"] = op4_quality_classifier
+
+
+#: Where the public tokenizers' files lie, and the one that the queries use.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = VOCABULARY) -> DataFrame:
+    from .sentencepiece_codec import load_vocabulary, tokenize
+
+    out = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), load_vocabulary(model_path), keep_text=False)
+    return out.select("doc_id", "n_tokens", "decoded_same", "ids")
+
+
+QUERIES["op3_sentencepiece"] = op3_sentencepiece
