@@ -6,11 +6,11 @@ cost 2 * m * half minhashes, about the square root of what independent tables wo
 Documents that share a key are candidates, and each link is confirmed on the full
 shingle sets.
 
-Equal sets are one node from the start. In a bucket, candidates are pairs of a pivot
-(its smallest node) and the others; nodes that the links so far have not joined with
-all of the bucket get further pivots in later rounds, until every two nodes of the
-bucket are either in one component or were compared. So a bucket of n near copies
-takes about n comparisons, and no link between components is lost.
+Equal sets are one node from the start. The nodes of all buckets that hang together
+form families; a family is compared in tiles of a few hundred nodes by a product of
+its shingle matrices, which yields each tile's links as a spanning forest. So neither
+the pairs of a bucket nor the links of a group are ever rows. Families over a limit
+(many texts around one common passage) are first taken apart by longer keys.
 """
 
 from __future__ import annotations
@@ -48,11 +48,23 @@ def _set_of(data: bytes, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width)[0])
 
 
-def _signer(width: int, m: int, half: int):
-    rng = np.random.default_rng(_SEED)
+def _hash_family(m: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([_SEED, m, half])
     k = 2 * m * half
-    odd, add = rng.integers(1, 2**63, k, dtype=np.uint64) * _U64(2) + _U64(1), rng.integers(1, 2**63, k, dtype=np.uint64)
+    return rng.integers(1, 2**63, k, dtype=np.uint64) * _U64(2) + _U64(1), rng.integers(1, 2**63, k, dtype=np.uint64)
+
+
+def half_keys(h: np.ndarray, at: np.ndarray, m: int, half: int) -> np.ndarray:
+    """For each text (shingles at[d]:at[d + 1] of h) the 2 * m hashes of `half` minhashes."""
+    odd, add = _hash_family(m, half)
+    some = np.flatnonzero(np.diff(at))
+    sign = np.zeros((len(at) - 1, len(odd)), _U64)
+    for x in range(len(odd) if len(some) else 0):
+        sign[some, x] = np.minimum.reduceat(h * odd[x] + add[x], at[some])
+    return (combine(*[sign[:, y::half] for y in range(half)]) >> _U64(1)).astype(np.int64)
+
 
+def _signer(width: int, m: int, half: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offs = text_buffer(batch.column(1))
@@ -60,12 +72,7 @@ def _signer(width: int, m: int, half: int):
             for i, j in slices(offs, _SLICE_BYTES):
                 part, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
                 h, at = shingle_hashes(part, o, width)
-                some = np.flatnonzero(np.diff(at))
-                sign = np.zeros((j - i, k), _U64)
-                for x in range(k if len(some) else 0):
-                    sign[some, x] = np.minimum.reduceat(h * odd[x] + add[x], at[some])
-                both = combine(*[sign[:, y::half] for y in range(half)]) if half > 1 else sign
-                both = (both >> _U64(1)).astype(np.int64)
+                both = half_keys(h, at, m, half)
                 for d in range(j - i):
                     own = np.unique(h[at[d] : at[d + 1]])
                     sizes.append(len(own))
@@ -77,24 +84,69 @@ def _signer(width: int, m: int, half: int):
     return run
 
 
-def _confirm(width: int, num: int, den: int):
+def _resign(width: int, m: int, half: int):
+    """node, packed -> node, halves by other hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
-            keep = []
-            a, ta, tb = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
-            for i, node in enumerate(a):
-                if node != last or held is None or ta[i].as_py() != held[0]:
-                    held = (ta[i].as_py(), _set_of(unpack(ta[i].as_py()), width))
-                    last = node
-                x, y = held[1], _set_of(unpack(tb[i].as_py()), width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            rows = []
+            for x in batch.column(1).to_pylist():
+                data = unpack(x)
+                rows.append(half_keys(*shingle_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width), m, half)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "halves"])
 
     return run
 
 
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
+    """Indices of the links a-b that make a spanning forest of n nodes."""
+    root = list(range(n))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return keep
+
+
+def tile_links(sets: list[np.ndarray], num: int, den: int, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of sets with den * shared >= num * together.
+    cut: only pairs of a set before cut and one from there on."""
+    sizes = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    found, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    # Shingles of one set only can't be shared; the others are columns, some thousand at a time.
+    column = np.cumsum(count > 1) - 1
+    both = count[at] > 1
+    owner, at = owner[both], column[at[both]]
+    split = len(sets) if cut is None else cut
+    shared = np.zeros((split, len(sets) if cut is None else len(sets) - cut), np.float32)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        i, j = np.searchsorted(at, [lo, lo + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[owner[i:j], at[i:j] - lo] = 1
+        shared += m[:split] @ (m.T if cut is None else m[cut:].T)
+    together = sizes[:split, None] + (sizes if cut is None else sizes[cut:])[None, :] - shared
+    linked = den * shared >= num * together
+    if cut is None:
+        linked = np.triu(linked, 1)
+    a, b = np.nonzero(linked)
+    b = b + (0 if cut is None else cut)
+    keep = _forest(a, b, len(sets))
+    return a[keep], b[keep]
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each of nodes reaches over links (a, b).
 
@@ -121,53 +173,76 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _confirmed(signed: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, staged."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = stage(signed.filter("set_key is not null").join(ids, "id", "left_semi").dropDuplicates(["id", "set_key"]).select("id", "packed"), "texts")
-    of_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("packed_b")), "b")
-    both = of_b.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("packed_a")), "a").select("a", "b", "packed_a", "packed_b")
-    out = stage(both.mapInArrow(_confirm(shingle, percent, 100), both.select("a", "b").schema), "links")
-    drop_staged(texts)
+def families(halves: DataFrame, m: int) -> DataFrame:
+    """(node, comp): the nodes that share a bucket with others, and their family, from
+    (node, halves)."""
+    each = F.sequence(F.lit(0), F.lit(m - 1))
+    keys = F.flatten(F.transform(each, lambda i: F.transform(each, lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j + m)))))
+    buckets = halves.select("node", F.explode(keys).alias("key"))
+    pivots = stage(buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"), "pivots")
+    star = stage(buckets.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    drop_staged(pivots)
+    nodes = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
+    out = components(nodes, star)
+    drop_staged(star)
     return out
 
 
-#: Up to so many nodes left in a bucket are compared across components at once.
-SMALL_BUCKET = 32
+def _link_tiles(width: int, percent: int, kind: pa.DataType):
+    def run(group: pa.Table) -> pa.Table:
+        cols = {c: group.column(c).to_pylist() for c in ("comp", "lo", "hi", "tile", "node", "packed")}
+        by: dict = {}
+        for k in range(group.num_rows):
+            by.setdefault((cols["comp"][k], cols["lo"][k], cols["hi"][k]), []).append(k)
+        a, b = [], []
+        for (_, lo, hi), rows in by.items():
+            if len(rows) < 2:
+                continue
+            rows.sort(key=lambda k: (cols["tile"][k], cols["node"][k]))
+            first = None if lo == hi else sum(cols["tile"][k] == lo for k in rows)
+            if first in (0, len(rows)):
+                continue
+            x, y = tile_links([_set_of(unpack(cols["packed"][k]), width) for k in rows], percent, 100, first)
+            nodes = [cols["node"][k] for k in rows]
+            a += [nodes[i] for i in x]
+            b += [nodes[i] for i in y]
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
 
+    return run
 
-def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m: int) -> DataFrame:
-    """Links (a, b) between nodes that join what the full sets join: after the last
-    round every two nodes of a bucket are in one component or were compared."""
-    sides = F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j + m))))
-    buckets = reps.select("node", F.explode(F.flatten(sides)).alias("key"))
-    first = stage(buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"), "pivots")
-    live = stage(buckets.join(first, "key"), "buckets")
-    drop_staged(first)
-    pairs = live.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = [_confirmed(signed, stage(pairs, "pairs"), shingle, percent)]
-    live, salts = live.filter("node <> pivot").select("key", "node"), 4
-    while True:
-        comp = components(live.select("node").distinct(), _union(links))
-        left = live.join(comp, "node")
-        open_keys = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
-        left = stage(left.join(open_keys, "key"), "open")
-        drop_staged(comp)
-        if not left.limit(1).count():
-            break
-        pivots = stage(left.filter(F.col("n") > SMALL_BUCKET).groupBy("key", F.pmod(F.xxhash64("node"), F.lit(salts))).agg(F.min(F.struct("node", "comp")).alias("p")).select("key", "p.*").union(left.filter(F.col("n") <= SMALL_BUCKET).select("key", "node", "comp")), "pivots")
-        others = pivots.toDF("key", "a", "comp_a")
-        pairs = left.join(others, "key").filter("comp <> comp_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        links.append(_confirmed(signed, stage(pairs, "pairs"), shingle, percent))
-        live = stage(left.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node"), "buckets")
-        salts *= 4
-    return _union(links)
-
-
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
+
+#: Nodes of a tile, about; and the size from which a family is first taken apart.
+TILE = 384
+LARGE_FAMILY = 16384
+#: m and half of the keys that take large families apart: at 0.85 they miss a link with a chance of 1e-4, and join two texts alike to 0.35 with one of 0.002.
+LONG_KEYS = (22, 6)
+
+
+def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m: int, tile: int = TILE, large: int = LARGE_FAMILY) -> DataFrame:
+    """Links (a, b) between nodes: within each tile pair of a family, a spanning forest
+    of the pairs whose full sets are similar enough."""
+    found = families(reps.select("node", "halves"), m)
+    texts = stage(signed.filter("set_key is not null").join(found, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "set_key"]).select(F.col("id").alias("node"), "packed"), "texts")
+    sizes = stage(found.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
+    if sizes.filter(F.col("n") > large).limit(1).count():
+        big = found.join(sizes.filter(F.col("n") > large).select("comp"), "comp", "left_semi")
+        again = stage(texts.join(big.select("node"), "node", "left_semi").mapInArrow(_resign(shingle, *LONG_KEYS), reps.select("node", "halves").schema), "halves")
+        small = found.join(sizes.filter(F.col("n") > large).select("comp"), "comp", "left_anti").select("node", "comp")
+        found = stage(small.union(families(again, LONG_KEYS[0])), "families")
+        sizes = stage(found.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    # Small families share a group; a large one has a group for each pair of its tiles.
+    group = F.when(F.col("tiles") == 1, F.pmod(F.xxhash64("comp"), F.lit(max(1, total // tile)))).otherwise(F.xxhash64("comp", "lo", "hi"))
+    placed = found.join(sizes, "comp").withColumn("tiles", tiles).withColumn("tile", own).select("node", "comp", "tiles", "tile", other.alias("other"))
+    placed = placed.select("node", "comp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tiles").withColumn("cell", group).drop("tiles")
+    kind = reps.select(F.col("node").alias("a"), F.col("node").alias("b")).schema
+    arrow = pa.int64() if kind["a"].dataType == T.LongType() else pa.int32() if kind["a"].dataType == T.IntegerType() else pa.string()
+    links = placed.join(texts, "node").groupBy("cell").applyInArrow(_link_tiles(shingle, percent, arrow), kind)
+    out = stage(links.distinct(), "links")
+    drop_staged(texts)
     return out
 
 
