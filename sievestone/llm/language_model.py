@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._blocks import make_blocks, open_block, pack_hashes, range_of, unpack_hashes
 from ._common import _U64, combine, drop_staged, learned_fold, pack, small_batches, stage, text_buffer, unpack, word_hashes, word_spans
 
 BLOCK_BYTES = 6 << 20
@@ -43,37 +43,12 @@ class Weights:
     texts: int
 
 
-def _make_blocks(block_bytes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                piece = batch.slice(k, 64)
-                held.append(piece)
-                size += len(text_buffer(piece.column(0))[0])
-                if size >= block_bytes:
-                    yield _block(part, seq, held)
-                    seq, held, size = seq + 1, [], 0
-        if held:
-            yield _block(part, seq, held)
-
-    return run
-
-
-def _block(part: int, seq: int, pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
-    whole = pa.Table.from_batches(pieces).combine_chunks()
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, whole.schema) as out:
-        out.write_table(whole)
-    return pa.RecordBatch.from_arrays([pa.array([part * 2**31 + seq], pa.int64()), pa.array([pack(sink.getvalue().to_pybytes())], pa.binary())], ["block", "rows"])
-
-
 class _Tokens:
     """A block's tokens: uni and bi are hashes in text order, `learn` tells which
     tokens are learned from, first the index of each text's first token."""
 
     def __init__(self, rows: bytes) -> None:
-        self.table = pa.ipc.open_stream(unpack(rows)).read_all().combine_chunks()
+        self.table = open_block(rows)
         buf, offs = text_buffer(self.table.column(0))
         starts, ends, first = word_spans(buf, offs)
         n = self.table.num_rows
@@ -94,12 +69,6 @@ class _Tokens:
         return found, at, np.bincount(at[self.learn], minlength=len(found))
 
 
-def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of the parts' ranges of the hash begins in the sorted hashes."""
-    bounds = np.array([(p << 64) // parts for p in range(parts)], dtype=object).astype(np.uint64)
-    return np.append(np.searchsorted(hashes, bounds), len(hashes))
-
-
 def _pack_counts(n: np.ndarray) -> bytes:
     return pack(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()) if len(n) == 0 or n.max() < 2**32 else b"L" + pack(n.astype(np.uint64).tobytes())
 
@@ -111,17 +80,6 @@ def _unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _pack_hashes(h: np.ndarray) -> bytes:
-    """Sorted hashes as differences, byte planes apart: the high planes are mostly zero."""
-    gaps = np.diff(h, prepend=_U64(0))
-    return pack(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def _unpack_hashes(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(unpack(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 _CELL = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("uni", T.BinaryType()), T.StructField("uni_n", T.BinaryType()), T.StructField("bi", T.BinaryType()), T.StructField("bi_n", T.BinaryType())])
 
 
@@ -131,8 +89,8 @@ def _ask(parts: int):
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = _Tokens(rows)
                 (u, _, un), (b, _, bn) = tokens.distinct("uni"), tokens.distinct("bi")
-                ru, rb = _range_of(u, parts), _range_of(b, parts)
-                cells = [(block, p, _pack_hashes(u[ru[p] : ru[p + 1]]), _pack_counts(un[ru[p] : ru[p + 1]]), _pack_hashes(b[rb[p] : rb[p + 1]]), _pack_counts(bn[rb[p] : rb[p + 1]])) for p in range(parts)]
+                ru, rb = range_of(u, parts), range_of(b, parts)
+                cells = [(block, p, pack_hashes(u[ru[p] : ru[p + 1]]), _pack_counts(un[ru[p] : ru[p + 1]]), pack_hashes(b[rb[p] : rb[p + 1]]), _pack_counts(bn[rb[p] : rb[p + 1]])) for p in range(parts)]
                 kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), kinds, strict=True)], [f.name for f in _CELL])
 
@@ -145,7 +103,7 @@ def _answer(cells: pa.Table) -> pa.Table:
     out: dict[str, list] = {"block": cells.column("block").to_pylist(), "part": cells.column("part").to_pylist()}
     tokens = types = 0
     for kind in ("uni", "bi"):
-        hashes = [_unpack_hashes(x) for x in cells.column(kind).to_pylist()]
+        hashes = [unpack_hashes(x) for x in cells.column(kind).to_pylist()]
         counts = [_unpack_counts(x) for x in cells.column(f"{kind}_n").to_pylist()]
         found, at = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.zeros(len(found), np.int64)
@@ -171,7 +129,7 @@ def count_ngrams(docs: DataFrame, learn, text_col: str = "text", block_bytes: in
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), F.coalesce(learn, F.lit(False)).alias("_learn"), *[F.col(f"`{c}`") for c in docs.columns if c not in dropped])
-    blocks = stage(rows.mapInArrow(_make_blocks(block_bytes), "block long, rows binary"), "lm-blocks")
+    blocks = stage(rows.mapInArrow(make_blocks(block_bytes), "block long, rows binary"), "lm-blocks")
     parts = parts or max(1, blocks.count())
     cells = blocks.mapInArrow(_ask(parts), _CELL)
     answers = stage(cells.groupBy("part").applyInArrow(_answer, "block long, part int, uni_n binary, bi_n binary, tokens long, types long"), "lm-answers")

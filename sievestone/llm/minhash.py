@@ -246,7 +246,7 @@ def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m:
     return out
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = 9, half: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = 10, half: int = 2) -> DataFrame:
     """For each row of docs: id_col, n_shingles (distinct shingles), component_id (the
     smallest id linked directly or over others) and kept (id = component_id).
 

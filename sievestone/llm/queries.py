@@ -132,3 +132,13 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = VOCABU
 
 
 QUERIES["op3_sentencepiece"] = op3_sentencepiece
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    out = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["op6_suffix_dedup"] = op6_suffix_dedup
