@@ -147,6 +147,38 @@ def tile_links(sets: list[np.ndarray], num: int, den: int, cut: int | None = Non
     return a[keep], b[keep]
 
 
+def _partition_forest():
+    """Of the links (a, b) of a partition only those that join two parts of it so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def top(x):
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = root[y]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = top(x), top(y)
+                keep.append(x != y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def thin(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components, far fewer where many run within a group: a
+    spanning forest of each partition, and again of the partitions that these make."""
+    for _ in range(2):
+        links = stage(links.mapInArrow(_partition_forest(), links.schema), "forest")
+    return links
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each of nodes reaches over links (a, b).
 
@@ -180,7 +212,7 @@ def families(halves: DataFrame, m: int) -> DataFrame:
     keys = F.flatten(F.transform(each, lambda i: F.transform(each, lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j + m)))))
     buckets = halves.select("node", F.explode(keys).alias("key"))
     pivots = stage(buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"), "pivots")
-    star = stage(buckets.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    star = thin(buckets.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     drop_staged(pivots)
     nodes = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
     out = components(nodes, star)
