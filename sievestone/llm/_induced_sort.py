@@ -45,7 +45,7 @@ class Queues:
                 self.free += x.nbytes
             out.append(x)
         self.held[symbol] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
     def close(self) -> None:
         if self.file is not None:
@@ -65,7 +65,7 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int, li
     """The order of all suffixes from the LMS suffixes in order (seeds)."""
     first = np.searchsorted(t[seeds], np.arange(symbols + 1))
     rising, sorted_l = Queues(symbols, limit), Queues(symbols, limit)
-    rising.push(int(t[-1]), np.array([len(t) - 1]))
+    rising.push(int(t[-1]), np.array([len(t) - 1], np.int32))
     present = np.flatnonzero(np.bincount(t, minlength=symbols))
     for c in present:
         batch = rising.pop(c)
@@ -83,7 +83,7 @@ def _induce(t: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, symbols: int, li
         _send(rising, j, t[j])
     rising.close()
     falling = Queues(symbols, limit)
-    out, at = np.empty(len(t), np.int64), len(t)
+    out, at = np.empty(len(t), np.int32), len(t)
     for c in present[::-1]:
         batch = falling.pop(c)
         while len(batch):
@@ -117,9 +117,13 @@ def _names(t: np.ndarray, lms: np.ndarray, by_order: np.ndarray) -> np.ndarray:
     equal substrings and in their order. by_order: lms in the order of substrings."""
     ends = np.append(lms[1:] + 1, len(t))
     size = ends - lms
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    term = _mix((t[place + np.repeat(lms, size)].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.uint64))
-    whole = np.add.reduceat(term, np.cumsum(size) - size)
+    whole = np.empty(len(lms), np.uint64)
+    for i in range(0, len(lms), 1 << 15):
+        n = size[i : i + (1 << 15)]
+        first = np.cumsum(n) - n
+        place = np.arange(n.sum(), dtype=np.int64) - np.repeat(first, n)
+        term = _mix((t[place + np.repeat(lms[i : i + (1 << 15)], n)].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.uint64))
+        whole[i : i + (1 << 15)] = np.add.reduceat(term, first)
     rank = np.searchsorted(lms, by_order)
     new = np.ones(len(lms), bool)
     new[1:] = (whole[rank[1:]] != whole[rank[:-1]]) | (size[rank[1:]] != size[rank[:-1]])
@@ -151,21 +155,24 @@ def suffix_order(t: np.ndarray, depth: int, limit: int = 256 << 20, level: int =
     of at most half the length. It is sorted by induction again while its alphabet
     is small (as in repetitive text), else by doubling, at most log(depth) rounds."""
     n = len(t)
+    if n >= 2**31:
+        raise ValueError("a text to sort must be shorter than 2 GB")
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
     t = t.astype(np.int64) if level else t
     less = np.append(t[:-1] < t[1:], False)
     differs = np.append(t[:-1] != t[1:], True)
-    next_diff = np.minimum.accumulate(np.where(differs, np.arange(n), n)[::-1])[::-1]
+    next_diff = np.minimum.accumulate(np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
     is_s = less[next_diff]
     is_lms = np.zeros(n, bool)
     is_lms[1:] = is_s[1:] & ~is_s[:-1]
-    lms = np.flatnonzero(is_lms)
+    lms = np.flatnonzero(is_lms).astype(np.int32)
     symbols = int(t.max()) + 1
     if not len(lms):
         return _induce(t, is_s, lms, symbols, limit)
-    rough = _induce(t, is_s, lms[np.argsort(t[lms], kind="stable")], symbols, limit)
-    by_order = rough[is_lms[rough]]
+    del less, differs, next_diff
+    by_order = _induce(t, is_s, lms[np.argsort(t[lms], kind="stable")], symbols, limit)
+    by_order = by_order[is_lms[by_order]]
     names = _names(t, lms, by_order)
     if names.max() == len(lms) - 1:
         order = np.searchsorted(lms, by_order)

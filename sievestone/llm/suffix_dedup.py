@@ -29,7 +29,7 @@ from ._induced_sort import suffix_order
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 _SLICE_BYTES = 1 << 20
 _CHUNK = 1 << 22
 _PLACE = _U64((1 << 24) - 1)
@@ -171,25 +171,34 @@ def repeated(snippets: np.ndarray, size: np.ndarray, doc: np.ndarray, place: np.
     # The snippets with a 0 behind each; bytes are raised by one.
     begin = np.cumsum(size + 1) - (size + 1)
     text = np.zeros(int((size + 1).sum()), np.uint16)
-    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    text[within + np.repeat(begin, size)] = snippets.astype(np.uint16) + 1
+    behind = np.zeros(len(text), bool)
+    behind[begin + size] = True
+    text[~behind] = snippets
+    text[~behind] += 1
+    del behind
     order = suffix_order(text, length, limit)
     first = np.cumsum(strings) - strings
-    number = np.full(len(text), -1, np.int64)
-    k = np.arange(total) - np.repeat(first, strings)
-    number[k + np.repeat(begin, strings)] = np.arange(total)
+    number = np.full(len(text), -1, np.int32)
+    k = np.arange(total, dtype=np.int32) - np.repeat(first.astype(np.int32), strings)
+    number[k + np.repeat(begin.astype(np.int32), strings)] = np.arange(total, dtype=np.int32)
     order = order[number[order] >= 0]
     same = np.zeros(total, bool)
-    for i in range(1, total, 1 << 15):
-        j = min(total, i + (1 << 15))
-        cols = np.arange(length)
+    cols = np.arange(length)
+    for i in range(1, total, 1 << 13):
+        j = min(total, i + (1 << 13))
         rows = text[order[i - 1 : j, None] + cols]
         same[i:j] = (rows[1:] == rows[:-1]).all(1)
     which = number[order]
-    group = np.cumsum(~same)
-    d, x = np.repeat(doc, strings)[which], (np.repeat(place, strings) + k)[which]
+    # Only strings with an equal one need their places compared.
+    some = same.copy()
+    some[:-1] |= same[1:]
+    which, group = which[some], np.cumsum(~same)[some]
+    if not len(which):
+        return out
+    snippet = np.searchsorted(first, which, side="right") - 1
+    d, x = doc[snippet], place[snippet] + k[which]
     by = np.lexsort((x, d, group))
-    lead = np.ones(total, bool)
+    lead = np.ones(len(by), bool)
     lead[1:] = group[by][1:] != group[by][:-1]
     head = by[np.flatnonzero(lead)][np.cumsum(lead) - 1]
     # Rows of one id at one place are one string, not one that starts earlier.
@@ -249,20 +258,25 @@ def _remove(parts: int, length: int, keep_text: bool, schema: T.StructType):
         flag_at = np.cumsum(strings) - strings
         lead = head[s.of]
         later = (s.ids[s.doc] != s.ids[s.doc[lead]]) | (s.place != s.place[lead])
-        n = s.strings
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        gone = np.repeat(later, n) | flags[k + np.repeat(flag_at[s.of], n)] if len(n) else np.zeros(0, bool)
-        at = (k + np.repeat(s.start, n))[gone]
         change = np.zeros(len(s.buf) + 1, np.int32)
+        # All strings of a later copy go, from its first to behind its last.
+        np.add.at(change, s.start[later], 1)
+        np.add.at(change, s.start[later] + s.strings[later] - 1 + length, -1)
+        some = np.add.reduceat(flags, flag_at, dtype=np.int64) > 0 if len(flag_at) else np.zeros(0, bool)
+        part = np.flatnonzero(~later)
+        part = part[some[s.of[part]]]
+        n = s.strings[part]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = (k + np.repeat(s.start[part], n))[flags[k + np.repeat(flag_at[s.of[part]], n)]]
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
-        removed = np.cumsum(change[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(removed)])
+        removed = np.cumsum(change[:-1], dtype=np.int32) > 0
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(removed, dtype=np.int32)])
         begins = removed.copy()
         begins[1:] &= ~removed[:-1]
         inner = s.offs[1:-1][s.offs[1:-1] < len(removed)]
         begins[inner] = removed[inner]
-        spans = np.concatenate([[0], np.cumsum(begins)])
+        spans = np.concatenate([np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)])
         digests, texts = [], []
         for d in range(len(s.offs) - 1):
             lo, hi = s.offs[d], s.offs[d + 1]
@@ -271,7 +285,7 @@ def _remove(parts: int, length: int, keep_text: bool, schema: T.StructType):
             digests.append(hashlib.sha256(rest).hexdigest())
             if keep_text:
                 texts.append(rest.decode("utf-8", "ignore"))
-        extra = {"n_bytes": pa.array(np.diff(s.offs)), "n_removed": pa.array(np.diff(total[s.offs])), "n_spans": pa.array(np.diff(spans[s.offs])), "kept_sha256": pa.array(digests, pa.string())}
+        extra = {"n_bytes": pa.array(np.diff(s.offs), pa.int64()), "n_removed": pa.array(np.diff(total[s.offs]).astype(np.int64)), "n_spans": pa.array(np.diff(spans[s.offs]).astype(np.int64)), "kept_sha256": pa.array(digests, pa.string())}
         table = s.table.slice(0)
         columns = []
         for f in schema:
@@ -305,7 +319,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = [c for c in docs.columns if c not in (id_col, text_col, *names)]
     rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in others])
     blocks = stage(rows.mapInArrow(make_blocks(block_bytes), "block long, rows binary"), "sd-blocks")
-    parts = max(1, blocks.count() // 2)
+    parts = max(1, blocks.count() * 3 // 4)
     asked = blocks.mapInArrow(_ask(parts, length), "block long, part int, keys binary")
     answers = asked.groupBy("part").applyInArrow(_answer, "block long, part int, shared binary")
     by_block = stage(answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "shared"))).alias("answers")), "sd-answers")
