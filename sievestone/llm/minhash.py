@@ -182,27 +182,23 @@ def thin(links: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each of nodes reaches over links (a, b).
 
-    Labels spread along the links and are then shortened through the label's own
-    label, so long chains take a logarithm of rounds. Every round is written."""
-    both = stage(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("a", "b"), "links")
-    label = stage(both.select(F.col("a").alias("node")).distinct().withColumn("comp", F.col("node")), "labels")
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = label.join(near, label["node"] == near["a"], "left").select("node", F.least("comp", F.coalesce("near", "comp")).alias("comp"), F.col("comp").alias("old"))
-        step = stage(step, "labels")
-        hop = step.select(F.col("node").alias("via"), F.col("comp").alias("further"))
-        new = stage(step.join(hop, step["comp"] == hop["via"], "left").select("node", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old"), "labels")
-        changed = new.filter("comp <> old").limit(1).count()
-        drop_staged(step)
-        drop_staged(label)
-        label = new.select("node", "comp")
-        label._staged_at = new._staged_at
-        if not changed:
-            break
-    drop_staged(both)
-    out = stage(nodes.join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
-    drop_staged(label)
-    return out
+    In each round a node takes the smallest of itself and its neighbours as parent; the
+    parents are shortened once, and the links are drawn between parents anew, where
+    most of them vanish. Every round is written."""
+    edges = thin(links.select("a", "b"))
+    found = stage(nodes.select("node", F.col("node").alias("comp")), "labels")
+    while edges.limit(1).count():
+        both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b")
+        parent = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("child"), F.least("a", "b").alias("up")), "parents")
+        above = parent.select(F.col("child").alias("via"), F.col("up").alias("further"))
+        parent = stage(parent.join(above, parent["up"] == above["via"], "left").select("child", F.least("up", F.coalesce("further", "up")).alias("up")), "parents")
+        moved = edges.join(parent.toDF("a", "x"), "a").join(parent.toDF("b", "y"), "b").filter("x <> y")
+        shorter = thin(moved.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        label = stage(found.join(parent, found["comp"] == parent["child"], "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        for old in (found, parent, edges):
+            drop_staged(old)
+        found, edges = label, shorter
+    return found
 
 
 def families(halves: DataFrame, m: int) -> DataFrame:
