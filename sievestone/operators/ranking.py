@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_Q = W.partitionBy("query_id")
+def _q():
+    return W.partitionBy("query_id")
 
 # Factors of intent by granularity.
 BOOST = {
@@ -22,9 +23,9 @@ def knee_gate(ranked: DataFrame, min_k: int = 20, max_k: int = 150, relative: fl
 
     The gaps between neighbours are averaged over three; the first row at or after
     min_k whose average gap over its score exceeds `relative` is the knee."""
-    order = _Q.orderBy("rank")
+    order = _q().orderBy("rank")
     gap = F.coalesce(F.col("score") - F.lead("score").over(order), F.lit(0.0))
-    x = ranked.withColumn("gap", gap).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(_Q))
+    x = ranked.withColumn("gap", gap).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(_q()))
     x = x.withColumn("mean", F.avg("gap").over(order.rowsBetween(-1, 1)))
     knee = (F.col("i") >= min_k) & (F.col("i") < F.least(F.col("n") - 1, F.lit(max_k))) & (F.col("score") > 0) & (F.col("mean") / F.col("score") > relative)
     by = x.groupBy("query_id").agg(F.max("n").alias("n"), F.min(F.when(knee, F.col("i"))).alias("knee"))
@@ -38,7 +39,7 @@ def spearman(a: DataFrame, b: DataFrame) -> DataFrame:
     among themselves; 1 - 6 sum(d^2) / (n (n^2 - 1)), 0 for fewer than two;
     disagreement is 1 - spearman, held to 0..1."""
     both = a.select("query_id", "doc_id", F.col("rank").alias("ra")).join(b.select("query_id", "doc_id", F.col("rank").alias("rb")), ["query_id", "doc_id"])
-    both = both.withColumn("ra", F.row_number().over(_Q.orderBy("ra"))).withColumn("rb", F.row_number().over(_Q.orderBy("rb")))
+    both = both.withColumn("ra", F.row_number().over(_q().orderBy("ra"))).withColumn("rb", F.row_number().over(_q().orderBy("rb")))
     d = (F.col("ra") - F.col("rb")).cast("double")
     by = both.groupBy("query_id").agg(F.count("*").alias("n"), F.sum(d * d).alias("d2"))
     rho = F.when(F.col("n") < 2, 0.0).otherwise(1 - 6 * F.col("d2") / (F.col("n") * (F.col("n") * F.col("n") - 1)))
@@ -63,7 +64,7 @@ def normalized_entropy(p: Column, n: Column) -> Column:
 
 def margin_entropy(ranked: DataFrame) -> DataFrame:
     """(query_id, margin, entropy): (first - second) / first, and the normalised entropy of the positive scores."""
-    total = F.sum(F.when(F.col("score") > 0, F.col("score"))).over(_Q)
+    total = F.sum(F.when(F.col("score") > 0, F.col("score"))).over(_q())
     p = F.when(F.col("score") > 0, F.col("score") / total)
     x = ranked.withColumn("h", -p * F.log(p)).withColumn("pos", (F.col("score") > 0).cast("int"))
     by = x.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"), F.sum("h").alias("h"), F.sum("pos").alias("n"))
@@ -79,7 +80,7 @@ def granularity_boost(candidates: DataFrame, intent: Column | str, table: dict =
         for level, x in levels.items():
             factor = F.when((intent == name) & (F.col("granularity") == level), x).otherwise(factor)
     out = candidates.withColumn("score", F.col("score") * factor).withColumnRenamed("rank", "old_rank")
-    return out.withColumn("rank", F.row_number().over(_Q.orderBy(F.round("score", 9).desc(), "old_rank")))
+    return out.withColumn("rank", F.row_number().over(_q().orderBy(F.round("score", 9).desc(), "old_rank")))
 
 
 def granularity_mix(candidates: DataFrame, limits: dict[str, int]) -> DataFrame:

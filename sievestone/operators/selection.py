@@ -25,10 +25,11 @@ def budget_skip(ranked: DataFrame, budget: int, reserve: int = 0, cost: str = "t
 
 def _mmr(rows: pd.DataFrame, weight: float) -> pd.DataFrame:
     rows = rows.sort_values("rank", kind="stable").reset_index(drop=True)
-    v = np.array([np.zeros(1) if x is None else np.asarray(x, float) for x in rows["embedding"]], dtype=object)
-    has = np.array([x is not None for x in rows["embedding"]])
-    width = max((len(x) for x, h in zip(v, has, strict=True) if h), default=1)
-    m = np.stack([x if h else np.zeros(width) for x, h in zip(v, has, strict=True)])
+    vectors = list(rows["embedding"])
+    has = np.array([hasattr(x, "__len__") for x in vectors])
+    m = np.zeros((len(rows), max((len(x) for x, h in zip(vectors, has, strict=True) if h), default=1)))
+    for i in np.flatnonzero(has):
+        m[i] = vectors[i]
     norm = np.linalg.norm(m, axis=1)
     m = m / np.where(norm == 0, 1, norm)[:, None]
     sim, score = m @ m.T, rows["score"].to_numpy(float)
