@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import make_blocks, open_block, pack_hashes, range_of, unpack_hashes
-from ._common import _U64, combine, drop_staged, learned_fold, pack, small_batches, stage, text_buffer, unpack, word_hashes, word_spans
+from ._common import _U64, combine, drop_staged, learned_fold, pack, small_batches, stage, text_buffer, trim, unpack, word_hashes, word_spans
 
 BLOCK_BYTES = 6 << 20
 BUCKETS = 32
@@ -169,6 +169,7 @@ def _deleted(n_tokens: int, texts: int):
         size = BUCKETS * _BINS * _BINS
         total = np.zeros((3, size))
         for batch in batches:
+            trim()
             for rows, answers in zip(batch.column("rows").to_pylist(), batch.column("answers").to_pylist(), strict=True):
                 tokens, uni, bi, context = _counts(rows, answers, texts)
                 uni, bi, context = uni[tokens.learn], bi[tokens.learn], context[tokens.learn]
@@ -211,6 +212,7 @@ def learn_weights(counted: DataFrame, tokens: int, types: int, texts: int, steps
 def _score(model: Weights, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trim()
             for rows, answers in zip(batch.column("rows").to_pylist(), batch.column("answers").to_pylist(), strict=True):
                 tokens, uni, bi, context = _counts(rows, answers, model.texts)
                 w = model.weights[_bucket(context)]

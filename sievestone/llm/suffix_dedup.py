@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import make_blocks, open_block, pack_hashes, range_of, unpack_hashes
-from ._common import _U64, drop_staged, pack, slices, small_batches, stage, text_buffer, unpack, word_hashes
+from ._common import _U64, mix64, pack, slices, small_batches, stage, text_buffer, trim, unpack, word_hashes
 from ._induced_sort import suffix_order
 
 LENGTH = 100
@@ -87,7 +87,8 @@ class Anchors:
             new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(at)) - 1
-            out.append((h[at[first]], start[first] + base, start[last] + base, doc[first] + first_doc))
+            # Least hashes are small: they are mixed again, so that ranges of keys are alike.
+            out.append((mix64(h[at[first]]), start[first] + base, start[last] + base, doc[first] + first_doc))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
 
 
@@ -142,6 +143,7 @@ class _Shared:
 def _send(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trim()
             for block, rows, answers in zip(*[batch.column(c).to_pylist() for c in ("block", "rows", "answers")], strict=True):
                 s = _Shared(rows, answers, parts, length)
                 head = np.flatnonzero(s.head)
@@ -208,6 +210,7 @@ def repeated(snippets: np.ndarray, size: np.ndarray, doc: np.ndarray, place: np.
 
 def _sort_range(length: int):
     def run(cells: pa.Table) -> pa.Table:
+        trim()
         texts = [np.frombuffer(unpack(x), np.uint8) for x in cells.column("bytes").to_pylist()]
         about = [np.frombuffer(unpack(x), np.int64).reshape(4, -1) for x in cells.column("about").to_pylist()]
         buf, whole = np.concatenate(texts), np.concatenate(about, axis=1)
@@ -246,6 +249,7 @@ def _sort_range(length: int):
 def _remove(parts: int, length: int, keep_text: bool, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trim()
             for rows, answers, replies in zip(*[batch.column(c).to_pylist() for c in ("rows", "answers", "replies")], strict=True):
                 yield from _rewrite(_Shared(rows, answers, parts, length), {x["part"]: x["flags"] for x in replies or []})
 
