@@ -91,3 +91,30 @@ def looks_complex(query: Column) -> Column:
     for m in COMPLEX_MARKERS:
         marked = marked | q.contains(m)
     return (words >= 18) | marked
+
+
+# Patterns of the depth that a question asks for, and the label of each class.
+DEPTH_RULES = (
+    ("ILLUSTRATIVE", ("\\b(show\\s+me|example|sample\\s+code|illustrate|demonstrate|give\\s+an?\\s+example|code\\s+sample|concrete\\s+example)\\b",)),
+    ("EXPLANATORY", ("\\b(why\\b|how\\s+does|how\\s+do\\b|how\\s+do\\s+we|explain|reason\\s+why|step\\s+by\\s+step|step-by-step|causal|because\\s+of|what\\s+causes|why\\s+does|mechanism|underlying|execution\\s+flow|trace\\s+.*\\s+flow|through\\s+all\\s+layers?|lifecycle)\\b",)),
+    ("DEBUGGING", ("\\b(error|exception|fails?|happens\\s+when|execution\\s+path|edge\\s+case|failure\\s+mode|debug|traceback|stack)\\b",)),
+)
+DEPTH_LABELS = {"ILLUSTRATIVE": "EXAMPLE_RECOMMENDED", "EXPLANATORY": "DETAILED_REQUIRED", "DEBUGGING": "DETAILED_REQUIRED", "FACTUAL": "SHALLOW_OK"}
+
+
+def depth_intent(query: Column) -> Column:
+    return first_rule(query, DEPTH_RULES, "FACTUAL")
+
+
+def depth_label(depth: Column) -> Column:
+    out = None
+    for name, label in DEPTH_LABELS.items():
+        out = F.when(depth == name, label) if out is None else out.when(depth == name, label)
+    return out
+
+
+def route(intent: Column, complex_: Column) -> Column:
+    """Tasks that change code, and broad explanations, are worked on in several read-only
+    passes; all else in one."""
+    several = intent.isin("implement", "refactor", "debug") | ((intent == "explain") & complex_)
+    return F.when(several, "read_only_agentic").otherwise("single_pass")

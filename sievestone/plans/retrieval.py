@@ -60,28 +60,28 @@ _DIST = "list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (cast
 def _vector_sql(sim: str) -> str:
     return f"""select query_id, vec_id, round(distance, 6) as distance, round({sim}, 6) as similarity, rank from (
 select *, row_number() over (partition by query_id order by round(distance, 9), vec_id) as rank from (
-select b.vec_id as query_id, a.vec_id, {_DIST} as distance from embeddings a, embeddings b where b.vec_id < 20 and a.vec_id <> b.vec_id)) where rank <= 10"""
+select b.vec_id as query_id, a.vec_id, {_DIST} as distance from embeddings a, embeddings b where b.vec_id % 50 = 0 and a.vec_id <> b.vec_id)) where rank <= 10"""
 
 
 @query("vector_topk_l2", _vector_sql("1 / (1 + distance)"))
 def vector_topk_l2(spark, d):
     v = table(spark, d, "embeddings")
-    return vec.vector_topk(v, v.filter("vec_id < 20")).select("query_id", "vec_id", R6("distance"), R6("similarity"), "rank")
+    return vec.vector_topk(v, v.filter("vec_id % 50 = 0")).select("query_id", "vec_id", R6("distance"), R6("similarity"), "rank")
 
 
 @query("vector_topk_calibrated", _vector_sql("1 / (1 + distance * distance)"))
 def vector_topk_calibrated(spark, d):
     v = table(spark, d, "embeddings")
-    return vec.vector_topk(v, v.filter("vec_id < 20"), mode="calibrated_v1").select("query_id", "vec_id", R6("distance"), R6("similarity"), "rank")
+    return vec.vector_topk(v, v.filter("vec_id % 50 = 0"), mode="calibrated_v1").select("query_id", "vec_id", R6("distance"), R6("similarity"), "rank")
 
 
 @query("vector_cosine_threshold", """with n as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
 m as (select *, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from n)
 select * from (select b.vec_id as query_id, a.vec_id, round(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) / (a.norm * b.norm), 6) as cosine
-from m a, m b where b.vec_id < 20 and a.vec_id <> b.vec_id) where cosine >= 0.3""")
+from m a, m b where b.vec_id % 50 = 0 and a.vec_id <> b.vec_id) where cosine >= 0.3""")
 def vector_cosine_threshold(spark, d):
     v = table(spark, d, "embeddings")
-    return vec.cosine_matches(v, v.filter("vec_id < 20"), 0.29).select("query_id", "vec_id", R6("cosine")).filter("cosine >= 0.3")
+    return vec.cosine_matches(v, v.filter("vec_id % 50 = 0"), 0.29).select("query_id", "vec_id", R6("cosine")).filter("cosine >= 0.3")
 
 
 _UNNEST = "select label, unnest(range(0, len(embedding))) as dim, cast(unnest(embedding) as double) as x from embeddings"
@@ -209,13 +209,13 @@ def query_term_recall(spark, d):
 
 
 def _blocks(spark, d):
-    terms = F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 60))
+    terms = F.array_distinct(tx.tokens(F.col("text")))
     q = bench_queries(spark, d).select("query_id", F.array_distinct(tx.tokens(F.col("text"))).alias("query_terms"))
     rows = candidates(spark, d).filter("rank <= 10").withColumn("terms", terms).withColumn("tokens", tx.tokens_by_length(F.col("text")))
     return rows.join(q, "query_id").select("query_id", "doc_id", "score", "rank", "file", "terms", "query_terms", "tokens")
 
 
-@query("cqi4", with_corpus(f""", b as (select query_id, f.doc_id, f.rank, f.score, file, list_distinct({TOKENS.format('text')}[1:60]) as terms, bm.score as sem from fused f join docx using (doc_id) left join bm using (query_id, doc_id) where f.rank <= 10),
+@query("cqi4", with_corpus(f""", b as (select query_id, f.doc_id, f.rank, f.score, file, list_distinct({TOKENS.format('text')}) as terms, bm.score as sem from fused f join docx using (doc_id) left join bm using (query_id, doc_id) where f.rank <= 10),
 b2 as (select query_id, rank, score, file, terms, coalesce(sem, 0) / 100 as sem from b),
 p as (select a.query_id, len(list_intersect(a.terms, c.terms)) / len(list_distinct(list_concat(a.terms, c.terms))) as j from b2 a join b2 c on a.query_id = c.query_id and a.rank < c.rank where len(list_concat(a.terms, c.terms)) > 0),
 m4 as (select query_id, avg(j) as m4 from p group by 1),
@@ -252,7 +252,7 @@ def set_optimize(spark, d):
 def _spans(spark, d):
     """Candidates with a span of lines made from the document's id and size."""
     lo = (F.col("doc_id") % 50 + 1).cast("int")
-    rows = candidates(spark, d).withColumns({"lo": lo, "hi": (lo + F.col("n_chars") / 100).cast("int"), "symbol_id": F.concat_ws(":", "file", (F.col("doc_id") % 7).cast("string")), "tokens": tx.tokens_by_length(F.col("text")), "content": F.substring("text", 1, 400)})
+    rows = candidates(spark, d).withColumns({"lo": lo, "hi": (lo + F.col("n_chars") / 100).cast("int"), "symbol_id": F.concat_ws(":", "file", (F.col("doc_id") % 7).cast("string")), "tokens": tx.tokens_by_length(F.col("text")), "content": F.col("text")})
     return rows.select("query_id", "doc_id", "score", "rank", "file", "granularity", "lo", "hi", "symbol_id", "tokens", "content")
 
 
