@@ -38,7 +38,7 @@ def scan_tree(spark: SparkSession, root: str, ignore: Sequence[str] = ()) -> Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
     x = files.select(rel.alias("path"), F.col("content")).filter(~F.col("path").rlike(ignore_pattern(ignore)))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     digest = F.sha2("content", 256)
     return x.select(tx.file_id(F.col("path"), digest).alias("file_id"), "path", language_of(F.col("path")).alias("language"), digest.alias("content_hash"), tx.line_count(text).alias("line_count"), text.alias("text")).filter("language is not null")
 
@@ -70,7 +70,8 @@ def _symbols(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append({"file_id": file_id, "path": path, "parse_error": True})
                 continue
             rows += [{"file_id": file_id, "path": path, "parse_error": False, **x} for x in found]
-        yield pd.DataFrame(rows, columns=names)
+        out = pd.DataFrame(rows, columns=names, dtype=object)
+        yield out.where(out.notna(), None)
 
 
 def python_symbols(files: DataFrame) -> DataFrame:
