@@ -142,3 +142,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_suffix_dedup"] = op6_suffix_dedup
+
+ORACLE["op9_minhash"] = rf"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WS}'), lambda x: x <> '') as ws from documents),
+s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) end as sh from w),
+e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * c >= 85 * (na + nb - c)),
+u as (select a, b from l union select b, a from l),
+r as (select doc_id as node, doc_id as reach from documents union select r.node, u.b from r join u on r.reach = u.a),
+m as (select node, min(reach) as comp from r group by 1)
+select doc_id, cast(len(sh) as bigint) as n_shingles, comp as component_id, doc_id = comp as kept from s join m on doc_id = node"""
