@@ -153,3 +153,16 @@ u as (select a, b from l union select b, a from l),
 r as (select doc_id as node, doc_id as reach from documents union select r.node, u.b from r join u on r.reach = u.a),
 m as (select node, min(reach) as comp from r group by 1)
 select doc_id, cast(len(sh) as bigint) as n_shingles, comp as component_id, doc_id = comp as kept from s join m on doc_id = node"""
+
+ORACLE["op6_suffix_dedup"] = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+x as (select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) as w from (select doc_id, unnest(range(0, greatest(len(h) // 2 - 99, 0))) as i, h from d)),
+y as (select doc_id, i, row_number() over (partition by w order by doc_id, i) as r from x),
+s as (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from y where r > 1),
+g as (select doc_id, i, sum(case when p is null or i > p + 100 then 1 else 0 end) over (partition by doc_id order by i) as k from s),
+spans as (select doc_id, k, min(i) as lo, max(i) + 100 as hi from g group by 1, 2),
+cuts as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as prev from spans),
+kept as (select c.doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (lo - prev)), '' order by lo) as head, max(hi) as last, sum(hi - lo) as gone, count(*) as n from cuts c join d on d.doc_id = c.doc_id group by 1)
+select d.doc_id, cast(len(h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(n, 0) as bigint) as n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id"""
