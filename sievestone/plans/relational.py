@@ -129,7 +129,18 @@ def graph_stitch(spark, d):
 u as (select 'c' || a as src, 's' || b as dst from e union select 's' || b, 'c' || a from e),
 r as (select src as node, src as reach from u union select r.node, u.dst from r join u on r.reach = u.src) select node, min(reach) as component from r group by 1""")
 def redundancy_clusters(spark, d):
-    e = table(spark, d, "orders").join(table(spark, d, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return _trade_clusters(spark, d, "l_quantity >= 50 and l_discount >= 0.1")
+
+
+@query("redundancy_clusters_all")
+def redundancy_clusters_all(spark, d):
+    """redundancy_clusters over all lines. No SQL: the recursive closure is quadratic in a component's nodes."""
+    return _trade_clusters(spark, d)
+
+
+def _trade_clusters(spark, d, lines="true"):
+    """Components of the edges customer -> supplier of the chosen lines."""
+    e = table(spark, d, "orders").join(table(spark, d, "lineitem").filter(lines), F.col("o_orderkey") == F.col("l_orderkey"))
     e = e.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst")).distinct()
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
     return graph.connected_components(nodes, e)

@@ -46,3 +46,22 @@ def test_query(spark, con, name):
     assert sorted(want.columns) == columns
     at = [want.columns.index(c) for c in columns]
     assert rows == sorted(tuple(value(r[i]) for i in at) for r in want.fetchall())
+
+
+def test_clusters_over_all_lines(spark, tmp_path):
+    import random
+
+    from sievestone.plans import catalogue
+
+    rng = random.Random(4)
+    orders = [(o, rng.randrange(40)) for o in range(60)]
+    lines = [(o, rng.randrange(100, 140), rng.choice([1.0, 50.0]), rng.choice([0.0, 0.1])) for o, _ in orders]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = [(f"c{dict(orders)[o]}", f"s{s}") for o, s, _, _ in lines]
+    want = {x: x for e in edges for x in e}
+    while changed := [(a, b) for a, b in edges if want[a] != want[b]]:
+        for a, b in changed:
+            want[a] = want[b] = min(want[a], want[b])
+    got = catalogue.QUERIES["redundancy_clusters_all"](spark, str(tmp_path)).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want) and len(set(want.values())) > 1
