@@ -16,6 +16,7 @@ the pairs of a bucket nor the links of a group are ever rows. Families over a li
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,21 +243,36 @@ def _link_tiles(width: int, percent: int, kind: pa.DataType):
 #: Nodes of a tile, about; and the size from which a family is first taken apart.
 TILE = 384
 LARGE_FAMILY = 16384
-#: m and half of the keys that take large families apart: at 0.85 they miss a link with a chance of 1e-4, and join two texts alike to 0.35 with one of 0.002.
-LONG_KEYS = (22, 6)
+#: Most tables (a side) and minhashes of the keys that take large families apart.
+LONG_TABLES, LONG_HALF = 48, 6
 
 
-def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m: int, tile: int = TILE, large: int = LARGE_FAMILY) -> DataFrame:
+def long_keys(percent: int, m: int, half: int) -> tuple[int, int] | None:
+    """m and half of the keys that take large families apart: the longest that miss a
+    link at the threshold with at most a tenth of the chance of the first keys (m and
+    half), or None if none do. At 80 (10, 2) they are (42, 6), at 85 (9, 2) (30, 6)."""
+    alike = percent / 100
+    if alike >= 1:
+        return 1, LONG_HALF
+    for n in range(LONG_HALF, half, -1):
+        tables = math.ceil((m * math.log1p(-(alike**half)) - math.log(10)) / math.log1p(-(alike**n)))
+        if tables <= LONG_TABLES:
+            return tables, n
+    return None
+
+
+def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m: int, half: int, tile: int = TILE, large: int = LARGE_FAMILY) -> DataFrame:
     """Links (a, b) between nodes: within each tile pair of a family, a spanning forest
     of the pairs whose full sets are similar enough."""
     found = families(reps.select("node", "halves"), m)
     texts = stage(signed.filter("set_key is not null").join(found, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "set_key"]).select(F.col("id").alias("node"), "packed"), "texts")
     sizes = stage(found.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
-    if sizes.filter(F.col("n") > large).limit(1).count():
+    longer = long_keys(percent, m, half)
+    if longer and sizes.filter(F.col("n") > large).limit(1).count():
         big = found.join(sizes.filter(F.col("n") > large).select("comp"), "comp", "left_semi")
-        again = stage(texts.join(big.select("node"), "node", "left_semi").mapInArrow(_resign(shingle, *LONG_KEYS), reps.select("node", "halves").schema), "halves")
+        again = stage(texts.join(big.select("node"), "node", "left_semi").mapInArrow(_resign(shingle, *longer), reps.select("node", "halves").schema), "halves")
         small = found.join(sizes.filter(F.col("n") > large).select("comp"), "comp", "left_anti").select("node", "comp")
-        found = stage(small.union(families(again, LONG_KEYS[0])), "families")
+        found = stage(small.union(families(again, longer[0])), "families")
         sizes = stage(found.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
@@ -285,7 +301,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked with nothing, has a null component and is kept. An empty table gives none.
 
     A link at the threshold is missed by all tables with a chance of about
-    2 * (1 - (percent / 100) ** half) ** m.
+    2 * (1 - (percent / 100) ** half) ** m, and by a tenth more in large families.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -296,7 +312,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = stage(signed.filter(real).select("id", "n_shingles", "set_key").join(reps.select("set_key", "node"), "set_key").select("id", "n_shingles", "node"), "owned")
     several = owned.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("id", "a")
     of_one_id = owned.join(several, "id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = all_links(signed, reps, shingle, percent, m).union(of_one_id)
+    links = all_links(signed, reps, shingle, percent, m, half).union(of_one_id)
     comp = components(reps.select("node").distinct(), links)
     found = owned.join(comp, "node").select("id", "n_shingles", F.col("comp").alias("component_id"))
     rest = signed.filter(~real).select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -29,6 +29,24 @@ def test_tiles_and_long_keys_lose_no_link(spark, docs, corpus, monkeypatch):
     assert out == brute.components(corpus, 3, 85)
 
 
+@pytest.mark.parametrize(("percent", "m", "half"), [(80, 10, 2), (85, 9, 2), (70, 10, 2), (100, 10, 2)])
+def test_long_keys_miss_no_more_than_the_first(percent, m, half):
+    miss = lambda m, half: 2 * (1 - (percent / 100) ** half) ** m
+    assert miss(*mh.long_keys(percent, m, half)) <= 0.1 * miss(m, half)
+    assert mh.long_keys(30, m, half) is None
+
+
+def test_long_keys_keep_pairs_at_the_threshold():
+    m, half = mh.long_keys(80, 10, 2)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        # 150 pairs of sets with 40 shared and 5 own shingles each: 40 / 50.
+        shared, own = rng.integers(1, 2**63, (150, 1, 40), dtype=np.uint64), rng.integers(1, 2**63, (150, 2, 5), dtype=np.uint64)
+        h = np.concatenate([np.repeat(shared, 2, 1), own], 2)
+        keys = mh.half_keys(h.ravel(), np.arange(0, h.size + 1, 45), m, half).reshape(150, 2, 2, m)
+        assert (keys[:, 0] == keys[:, 1]).any(2).all()
+
+
 def test_near_groups_odd_rows(spark, no_docs):
     assert mh.near_groups(no_docs).count() == 0
     text = "a b c d e f g h i j k l m n"
