@@ -33,7 +33,7 @@ BLOCK_BYTES = 4 << 20
 _SLICE_BYTES = 1 << 20
 _CHUNK = 1 << 22
 _PLACE = _U64((1 << 24) - 1)
-#: Bytes of snippets sorted as one text; more are sorted all the same, with queues on disk.
+#: Bytes of queues held in memory, beyond which they are on disk; the text and its order are always in memory.
 QUEUE_BYTES = 128 << 20
 
 
