@@ -78,6 +78,7 @@ class ItemIndex:
         self.window = int(self.sizes[long].min()) if long.any() else 2
         blocks = -(-(self.sizes + self.edits) // self.window)
         self.least = int(np.min(-(-self.need[long] // blocks[long]))) if long.any() else 1
+        self.span = int((self.sizes + self.edits).max()) if len(self.sizes) else 0
         self.spread = int(self.edits.max()) if len(self.edits) else 0
         # An edit parts the two walks for some steps; a sampled place then differs with this chance at most.
         alike = max(0.05, 1 - 2.5 * (1 - self.similarity)) ** self.sampled
@@ -130,10 +131,11 @@ class ItemIndex:
         doc = np.searchsorted(first, hits, side="right") - 1
         same = hits + 1 < first[doc + 1]
         hits, doc = hits[same], doc[same]
-        # Some window of the shortest item's size holds `least` hits, before or after each hit that counts.
+        # Some window of the shortest item's size within a leak holds `least` hits; the leak's other hits are within `span` of them, and count too.
         lo = np.searchsorted(hits, hits - self.window)
         hi = np.searchsorted(hits, hits + self.window, side="right")
-        keep = hi - lo >= self.least
+        dense = hits[hi - lo >= self.least]
+        keep = np.searchsorted(dense, hits + self.span, side="right") > np.searchsorted(dense, hits - self.span)
         hits, doc = hits[keep], doc[keep]
         if not len(hits):
             return found

@@ -166,6 +166,15 @@ def test_leaks_against_plain(spark):
     assert found >= 0.999 * wanted and wanted > 100
 
 
+def test_leaks_with_hits_outside_dense_windows():
+    rng = random.Random(1)
+    items = [np.array([rng.randrange(1, 2**63) for _ in range(n)], np.uint64) for n in (15, 59)]
+    text = items[1].copy()
+    text[[4, 6, 8, 10, 12, 14, 16, 18, 40, 45]] = range(1, 11)
+    words = np.array([*range(100, 150), *text, *range(200, 250)], np.uint64)
+    assert dc.ItemIndex([0, 1], items, 0.8, 0.9999).find(words, np.array([0, len(words)])) == {0: {1: 10}}
+
+
 def test_leaks_odd_tables(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminate(docs, none).filter("leaked").count() == 0
