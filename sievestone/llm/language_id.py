@@ -22,7 +22,6 @@ from ._common import _LOWER, learned_fold, slices, small_batches, text_buffer
 BUCKET_BITS = 16
 RUN_BYTES = 24
 EM_STEPS = 12
-MAX_SET = 3
 UNKNOWN = "und"
 _SLICE_BYTES = 1 << 20
 
@@ -91,7 +90,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 def infer(model: LanguageModel, buf: np.ndarray, offsets: np.ndarray, penalty: float = 1.5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each text: proportions (texts x languages) by expectation-maximisation
     over runs of n-grams; the chosen languages as booleans; and whether the text
-    has any byte. The set has the k most frequent languages, for the k <= MAX_SET
+    has any byte. The set has the k most frequent languages, for the k
     with the best log likelihood less penalty * (k - 1) * log(runs + 1)."""
     n, width = len(offsets) - 1, len(model.langs)
     lens = np.diff(offsets)
@@ -117,7 +116,7 @@ def infer(model: LanguageModel, buf: np.ndarray, offsets: np.ndarray, penalty: f
         pi = np.add.reduceat(r, first[:-1], axis=0) / size
     rank = np.argsort(-pi, axis=1, kind="stable")
     best, best_k = np.full(len(some), -np.inf), np.ones(len(some), int)
-    for k in range(1, min(MAX_SET, width) + 1):
+    for k in range(1, width + 1):
         mask = np.zeros_like(pi)
         np.put_along_axis(mask, rank[:, :k], 1.0, axis=1)
         sub = np.maximum(pi, 1e-12) * mask
@@ -127,7 +126,7 @@ def infer(model: LanguageModel, buf: np.ndarray, offsets: np.ndarray, penalty: f
         best[better], best_k[better] = fit[better], k
     share[some] = pi
     picked = np.zeros_like(pi, bool)
-    for k in range(min(MAX_SET, width)):
+    for k in range(width):
         picked[np.arange(len(some)), rank[:, k]] |= best_k > k
     chosen[some] = picked
     return share, chosen, runs > 0

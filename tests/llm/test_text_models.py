@@ -44,6 +44,16 @@ def test_language_id(spoken):
             assert r.held_out == (brute.fold(r.doc_id, 5) == 0)
 
 
+def test_language_id_of_many_languages(spark):
+    rng = random.Random(6)
+    tongues = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for k in range(6)}
+    say = lambda lang, n: " ".join("".join(rng.choice(tongues[lang]) for _ in range(2)) for _ in range(n))
+    model = li.train(spark.createDataFrame([(say(x, 300), x) for x in tongues], "text string, lang string"))
+    texts = [(n, " ".join(say(f"l{k}", 150) for k in range(n))) for n in range(1, 7)]
+    out = li.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert all(sorted(r.languages) == [f"l{k}" for k in range(r.doc_id)] for r in out)
+
+
 def test_language_id_without_training(spark, spoken):
     out = li.language_id(spoken.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
     assert [r[0] for r in out] == ["und"]
