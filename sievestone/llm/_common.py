@@ -4,7 +4,6 @@ vectorised tokenising of Arrow text columns."""
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -28,13 +27,11 @@ _STEP_POW = np.ones(1, _U64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that
-    is unset (as in tests on one machine) a new temporary folder."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is
+    unset a folder in the session's warehouse, which executors share too. The
+    setting itself is left as it is."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sievestone-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

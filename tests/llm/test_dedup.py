@@ -142,7 +142,8 @@ def distance(a, b):
     return min(row)
 
 
-def test_leaks_against_plain(spark):
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9])
+def test_leaks_against_plain(spark, similarity):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(150)]
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
@@ -150,29 +151,59 @@ def test_leaks_against_plain(spark):
     texts = {}
     for k in range(160):
         item = items[k % len(items)]
-        body = edit(item, rng.randrange(0, max(1, len(item) // 3)), rng)
+        body = edit(item, rng.randrange(0, max(1, int(len(item) * (1.3 - similarity)))), rng)
         texts[k] = say(rng.randrange(30)) + body + say(rng.randrange(30))
     texts[500], texts[501] = [], say(3000) + items[6] + say(3000)
     rows = [(i, " ".join(t).upper() if i % 2 else ", ".join(t)) for i, t in texts.items()] + [(900, None)]
     bench = [(i, " ".join(w)) for i, w in items.items()] + [(77, None), (78, ""), (79, "...")]
-    out = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string"), block_items=3)
+    out = dc.decontaminate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string"), similarity=similarity)
     got = {r.doc_id: {x.item: x.edits for x in r.leaks} for r in out.collect()}
     assert got[900] == {} and got[500] == {}
     wanted = found = 0
     for i, t in texts.items():
-        want = {k: e for k, w in items.items() if (e := distance(w, t) if t else 99) <= int(0.2 * len(w) + 1e-9)}
+        want = {k: e for k, w in items.items() if (e := distance(w, t) if t else 99) <= int((1 - similarity) * len(w) + 1e-9)}
         assert all(got[i][k] == want.get(k) for k in got[i]), i
         wanted, found = wanted + len(want), found + len(got[i])
     assert found >= 0.999 * wanted and wanted > 100
 
 
-def test_leaks_with_hits_outside_dense_windows():
+def test_leaks_with_edits_spread_evenly(spark):
+    """Every fifth word replaced: no six words in a row stay whole."""
     rng = random.Random(1)
-    items = [np.array([rng.randrange(1, 2**63) for _ in range(n)], np.uint64) for n in (15, 59)]
-    text = items[1].copy()
-    text[[4, 6, 8, 10, 12, 14, 16, 18, 40, 45]] = range(1, 11)
-    words = np.array([*range(100, 150), *text, *range(200, 250)], np.uint64)
-    assert dc.ItemIndex([0, 1], items, 0.8, 0.9999).find(words, np.array([0, len(words)])) == {0: {1: 10}}
+    items = [[f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(15, 60))] for _ in range(300)]
+    texts = []
+    for w in items:
+        n, t = int(0.2 * len(w)), list(w)
+        for k in range(n):
+            t[min(len(w) - 1, 4 + 5 * k)] = f"u{rng.randrange(10**6)}"
+        texts.append(t)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: [(x.item, x.edits) for x in r.leaks] for r in dc.decontaminate(df, bench).collect()}
+    assert sum(got[i] == [(i, distance(items[i], texts[i]))] for i in got) >= 0.99 * len(items)
+
+
+def test_walks_are_tables_of_sampled_places():
+    words = np.random.default_rng(1).integers(1, 2**63, 80, dtype=np.uint64)
+    t = dc.Table.draw(3)
+    keys, which = t.keys(words, np.arange(80), np.full(80, 80))
+    bits = dc.mix64(words ^ np.uint64(4 * 0x9E3779B97F4A7C15 % 2**64))
+    for key, start in zip(keys, which, strict=True):
+        at, path = int(start), []
+        for j in range(dc.STEPS):
+            path.append(at)
+            if at < 80:
+                at += int(bits[at]) >> j & 1
+        h = np.array([4], np.uint64)
+        for p in t.places:
+            h = dc._fold(h, words[path[p] : path[p] + 1])
+        assert h[0] == key
+    assert set(which) >= set(range(80 - dc.STEPS))
+
+
+def test_refused_similarity(docs):
+    with pytest.raises(ValueError):
+        dc.decontaminate(docs, docs, similarity=0.4)
 
 
 def test_leaks_odd_tables(spark, docs, no_docs):
