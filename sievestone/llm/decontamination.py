@@ -31,8 +31,8 @@ from ._common import _U64, combine, drop_staged, mix64, pack, slices, small_batc
 
 _SLICE_BYTES = 1 << 20
 _KEEP = np.array([c if c > 127 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
-#: Steps of a walk, and the places that a table samples of it, one in each part of it.
-STEPS, SAMPLED = 18, 4
+#: Steps of a walk for each place that a table samples of it: one in each part of the walk.
+STEPS_A_PLACE = 3
 #: Items of fewer words are found by whole segments, of which one at least stays whole.
 SHORT = 8
 MOST_TABLES = 32
@@ -65,44 +65,52 @@ class Table:
     places: tuple[int, ...]
 
     @staticmethod
-    def draw(number: int) -> Table:
+    def draw(number: int, sampled: int) -> Table:
         rng = np.random.default_rng([5, number])
-        cut = [STEPS * k // SAMPLED for k in range(SAMPLED + 1)]
-        return Table(number, tuple(int(rng.integers(cut[k], cut[k + 1])) for k in range(SAMPLED)))
+        return Table(number, tuple(int(rng.integers(STEPS_A_PLACE)) + STEPS_A_PLACE * k for k in range(sampled)))
 
     def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the walks from starts, and which starts they are. A walk that leaves its
-        text (the words before ends) by its last place has none. seen: of the walks whose
-        first two places are not in this filter no key is wanted."""
+        text (the words before ends) by its last place has none, nor has one that stands
+        on one word at two places: so few words tell nothing. seen: of the walks whose first
+        two places are not in this filter no key is wanted."""
         bits = mix64(words ^ _U64((self.number + 1) * 0x9E3779B97F4A7C15 % 2**64))
         at, last = starts.astype(np.int32), len(words) - 1
         which = np.arange(len(starts))
         h = np.full(len(starts), self.number + 1, _U64)
-        done = 0
+        done, before = 0, None
         for k, place in enumerate(self.places):
             for j in range(done, place):
                 at = at + ((bits[np.minimum(at, last)] >> _U64(j)) & _U64(1)).astype(np.int32)
             done = place
             h = _fold(h, words[np.minimum(at, last)])
-            if k == 1 and seen is not None:
-                some = np.flatnonzero(seen[(h >> _U64(64 - _PAIR_BITS)).astype(np.int64)])
+            if k:
+                moved = at != before
+                if k == 1 and seen is not None:
+                    moved &= seen[(h >> _U64(64 - _PAIR_BITS)).astype(np.int64)]
+                some = np.flatnonzero(moved)
                 at, which, h = at[some], which[some], h[some]
+            before = at
         inside = at < ends[which]
         return h[inside], which[inside]
 
     def heads(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """What keys() compares with seen, for each start."""
-        return Table(self.number, self.places[:2]).keys(words, starts, np.full(len(starts), len(words) + STEPS))[0]
+        """What keys() compares with seen, for each start; 0 where it does not come so far."""
+        out = np.zeros(len(starts), _U64)
+        h, which = Table(self.number, self.places[:2]).keys(words, starts, np.full(len(starts), 2 * len(words) + 64))
+        out[which] = h
+        return out
 
 
 _PAIR_BITS = 22
 
 
-def tables_for(similarity: float, recall: float, size: int) -> list[Table]:
+def tables_for(similarity: float, recall: float, size: int, sampled: int = 3) -> list[Table]:
     """As many tables as find a share `recall` of items of `size` words with all edits that
     are allowed, spread evenly (the hardest case), by the measured chance of a table."""
     edits = int((1 - similarity) * size + 1e-9)
-    trial = [Table.draw(t) for t in range(MOST_TABLES)]
+    trial = [Table.draw(t, sampled) for t in range(MOST_TABLES)]
+    steps = sampled * STEPS_A_PLACE
     if not edits:
         return trial[:2]
     rng = np.random.default_rng(3)
@@ -116,9 +124,9 @@ def tables_for(similarity: float, recall: float, size: int) -> list[Table]:
                 del text[at]
             else:
                 text[at : at + (kind == 0)] = [_U64(rng.integers(1, 2**63))]
-        text = np.array(text + list(rng.integers(1, 2**63, STEPS, dtype=np.uint64)), _U64)
+        text = np.array(text + list(rng.integers(1, 2**63, steps, dtype=np.uint64)), _U64)
         begin, stop = np.arange(size), np.full(size, size)
-        open_, end = np.arange(len(text) - STEPS), np.full(len(text) - STEPS, len(text))
+        open_, end = np.arange(len(text) - steps), np.full(len(text) - steps, len(text))
         chance.append(np.mean([bool(np.isin(t.keys(item, begin, stop)[0], t.keys(text, open_, end)[0]).any()) for t in trial]))
     # A table's chance is never taken as sure, as it is measured on a few trials.
     chance = np.minimum(np.array(chance), 0.95)
@@ -301,7 +309,7 @@ def _split_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(data, pa.binary())], ["id", "item", "n", "words"])
 
 
-def find_leaks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, similarity: float, recall: float) -> DataFrame:
+def find_leaks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, similarity: float, recall: float, sampled: int) -> DataFrame:
     """text_key, leaks of the rows of texts (text_key, text) in which items were found."""
     spark = texts.sparkSession
     small_batches(spark)
@@ -310,7 +318,7 @@ def find_leaks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_
     items = listed.groupBy("item").agg(F.first("n").alias("n"), F.first("words").alias("words"))
     long_ = F.when(F.col("n") >= SHORT, F.col("n"))
     least, most = listed.agg(F.min(long_), F.max("n")).first()
-    tables = tables_for(similarity, recall, least) if least else []
+    tables = tables_for(similarity, recall, least, sampled) if least else []
     keys = stage(items.select("item", "words").mapInArrow(_item_keys(similarity, tables), "item string, key long, place int, head int"), "dc-keys")
     count = keys.count()
     bits = int(min(MOST_FILTER_BITS, max(20, math.ceil(math.log2(max(1, count) * 16)))))
@@ -322,7 +330,7 @@ def find_leaks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_
     heads = keys.select("head").distinct().toArrow()["head"].to_numpy()
     seen = np.zeros(1 << _PAIR_BITS, bool)
     seen[heads[heads >= 0]] = True
-    margin = int(most or 0) + 2 * int(allowed_edits(most or 0, similarity)) + STEPS
+    margin = int(most or 0) + 2 * int(allowed_edits(most or 0, similarity)) + STEPS_A_PLACE * sampled
     shared = spark.sparkContext.broadcast(_Filter(seen, words.view(np.uint8), 64 - bits, tables, sorted(int(-h) for h in heads if h < 0), margin))
     regions = stage(texts.mapInArrow(_nominate(shared), "text_key string, region int, words binary, keys array<long>, at array<int>"), "dc-regions")
     hits = regions.select("text_key", "region", F.explode(F.arrays_zip("keys", "at")).alias("x")).select("text_key", "region", F.col("x.keys").alias("key"), F.col("x.at").alias("at"))
@@ -339,13 +347,15 @@ def find_leaks(texts: DataFrame, benchmark: DataFrame, item_col: str, item_text_
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.9999) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, recall: float = 0.99, sampled: int = 3) -> DataFrame:
     """All rows and columns of docs with leaks (array of struct item, edits: the
     items found and the fewest word edits, by item) and leaked (boolean).
 
     similarity: 0.5 to 1; other values are refused. recall: of items with all edits
-    that are allowed, spread evenly, the share that the tables are to find. Items of fewer
-    than SHORT words are found for certain.
+    that are allowed, spread evenly, the share that the tables are to find, at the size of
+    the shortest one (longer ones have more walks, and so more chances). sampled: places
+    of a table; one more makes chance meetings rarer and asks for more tables, which pays
+    for a benchmark of very many items. Items of fewer than SHORT words are found for certain.
 
     Items without a word and null items are left out; a null item id is an item of id
     null. Null and empty texts leak nothing. Equal items are each found; repeated rows
@@ -356,7 +366,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         raise ValueError(f"similarity must be from {LEAST_SIMILARITY} to 1")
     key = F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))
     texts = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(key.alias("text_key"), F.col(f"`{text_col}`").alias("text"))
-    leaks = find_leaks(texts, benchmark, item_col, item_text_col, similarity, recall)
+    leaks = find_leaks(texts, benchmark, item_col, item_text_col, similarity, recall, sampled)
     order = lambda x, y: F.when(x["item"].eqNullSafe(y["item"]), x["edits"] - y["edits"]).when(x["item"].isNull() | (x["item"] < y["item"]), -1).otherwise(1)
     found = leaks.select(F.col("text_key"), F.array_sort("leaks", order).alias("leaks"))
     kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("leaks", "leaked")]
