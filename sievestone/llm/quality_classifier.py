@@ -1,9 +1,9 @@
 """Quality classification by importance resampling.
 
-Two bag-of-n-grams models over hashed words and word pairs are learned: one of the
-target (labelled good) texts and one of all raw text. The log ratio of the two is a
-document's importance weight; Gumbel noise makes the top k of the noisy weights a
-sample without replacement that leans to the target.
+Two generative bag-of-n-grams models over hashed words and word pairs are learned: one
+of the target (labelled good) texts and one of all raw text. The ratio of a document's
+probabilities under the two is its importance weight; Gumbel noise makes the top k of
+the noisy log weights a sample without replacement that leans to the target.
 """
 
 from __future__ import annotations
@@ -43,34 +43,42 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (both >> _U64(64 - BUCKET_BITS)).astype(np.int64), 2 * first
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BUCKET_BITS, np.int64)
-    for batch in batches:
-        buf, offs = text_buffer(batch.column(0))
-        for i, j in slices(offs, _SLICE_BYTES):
-            at, first = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            doc = np.repeat(np.arange(j - i), np.diff(first))
-            once = np.unique((doc << BUCKET_BITS) | at) & (len(total) - 1)
-            total += np.bincount(once, minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
+def _count(once: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            buf, offs = text_buffer(batch.column(0))
+            for i, j in slices(offs, _SLICE_BYTES):
+                at, first = features(buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                if once:
+                    doc = np.repeat(np.arange(j - i), np.diff(first))
+                    at = np.unique((doc << BUCKET_BITS) | at) & (len(total) - 1)
+                total += np.bincount(at, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
+
+    return run
 
 
-def count_buckets(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """For each bucket, the texts that hold it: words come in clumps, so their number
-    in all would be noisier. A fixed number of counts reaches the driver."""
-    got = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def count_buckets(docs: DataFrame, text_col: str = "text", counts: str = "occurrences") -> np.ndarray:
+    """For each bucket how often its n-grams occur, or (counts="documents") the texts
+    that hold one. A fixed number of counts reaches the driver."""
+    got = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).mapInArrow(_count(counts == "documents"), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BUCKET_BITS)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
-def train(target: np.ndarray, raw: np.ndarray, prior: float = 1.0, sure: float = 4.0) -> ImportanceModel:
-    """log (target + prior) / (expected + prior), drawn towards 0 by `sure` standard
-    errors, so that only what the counts prove is weighed. A bucket's expected count is
-    what the raw texts make of the target's size, scaled so that frequent buckets
-    have in the median what is expected of them."""
+def train(target: np.ndarray, raw: np.ndarray, prior: float = 1.0, sure: float = 0.0) -> ImportanceModel:
+    """The log ratio of two generative models of n-grams, each smoothed by `prior` of
+    the raw model's counts: log (target + prior) / (expected + prior), where expected is
+    what the raw model makes of as many n-grams as the target has.
+
+    sure > 0: the value nearest 0 that is within so many standard errors, about the
+    median ratio of frequent buckets, so that only what the counts prove is weighed."""
     expected = raw * (target.sum() / max(raw.sum(), 1.0))
+    if not sure:
+        return ImportanceModel(np.log((target + prior) / (expected + prior)).astype(np.float32))
     frequent = expected >= 30
     if frequent.any():
         expected = expected * max(float(np.median(target[frequent] / expected[frequent])), 1e-3)
@@ -79,14 +87,15 @@ def train(target: np.ndarray, raw: np.ndarray, prior: float = 1.0, sure: float =
     return ImportanceModel(ratio.astype(np.float32))
 
 
-def weigh(docs: DataFrame, model: ImportanceModel, text_col: str = "text") -> DataFrame:
+def weigh(docs: DataFrame, model: ImportanceModel, text_col: str = "text", power: float = 0.0) -> DataFrame:
     """docs without the text, with n_features and score: the sum of the log ratios of
-    the text's buckets over the root of their number, so that the noise of a long text
-    weighs no more than that of a short one (0 for a text without words)."""
+    the text's n-grams, the log of its importance weight (0 for a text without words).
+    power: the sum is divided by n_features to this power; with 1 / 2 the noise of a
+    long text weighs no more than that of a short one."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("score", "n_features", text_col)]
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), *[F.col(f"`{c}`") for c in kept])
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("n_features", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +109,7 @@ def weigh(docs: DataFrame, model: ImportanceModel, text_col: str = "text") -> Da
                 total = np.zeros(j - i)
                 if len(at):
                     some = np.flatnonzero(size)
-                    total[some] = np.add.reduceat(ratio[at].astype(np.float64), first[some]) / np.sqrt(size[some])
+                    total[some] = np.add.reduceat(ratio[at].astype(np.float64), first[some]) / size[some] ** power
                 n.append(size)
                 score.append(total)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(np.concatenate(score) if score else [], pa.float64())], [*kept, "n_features", "score"])
@@ -138,32 +147,46 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 1024, few: int =
     return None
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20000, good_kept: float = 0.995, temperature: float = 0.02, seed: int = 3, k: int | None = None) -> DataFrame:
-    """All rows and columns of docs but the text, with n_features, score, sample_key
+#: What the query over the provided tables uses: see the README for what each is good for.
+SHARPENED = {"counts": "documents", "sure": 4.0, "power": 0.5, "temperature": 0.02}
+
+
+def gumbel_key(score, row_id, temperature: float, seed: int):
+    """score / temperature plus Gumbel noise that is fixed by seed and id."""
+    u = (F.pmod(F.xxhash64(row_id, F.lit(seed + 2)), F.lit(2**52)) + 0.5) / float(2**52)
+    return score / temperature - F.log(-F.log(u))
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, max_labelled: int = 20000, good_kept: float = 0.995, temperature: float = 1.0, seed: int = 3, counts: str = "occurrences", prior: float = 1.0, sure: float = 0.0, power: float = 0.0) -> DataFrame:
+    """All rows and columns of docs but the text, with n_features, score (the log
+    importance weight: target over raw probability of the text's n-grams), sample_key
     (score / temperature and Gumbel noise, fixed by seed and id) and kept: whether
-    the row is in the sample of the k largest keys.
+    the row is among the k largest keys, a sample without replacement by weight.
 
     labels: id_col, quality, toxic; of quality 1 and not toxic is the target, all else
     bad (of several labels of a document the worst counts). At most max_labelled
-    labelled documents are used: half of them learn; the other half find the score
-    that a share good_kept of good ones reach, and k is by default the number of
-    documents that reach it. Without good labels all is kept. Rows of equal key (repeated
-    rows) are kept or dropped together. A null id takes part without noise of its own.
+    labelled documents are used. With k given all of them learn. Without k half of them
+    learn; the other half find the key that a share good_kept of good ones reach, and k
+    is the number of documents that reach it.
+
+    counts, prior, sure: see count_buckets() and train(); power: see weigh(). Without
+    good labels, and with no k, all is kept. Rows of equal key (repeated rows) are kept
+    or dropped together. A null id shares one noise. Null and empty texts have score 0.
     Columns of docs with the names of results are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     order = F.xxhash64("_id", F.lit(seed))
+    half = F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(2)) == 0
     marks = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
-    marks = stage(marks.withColumn("learn", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(2)) == 0).orderBy(order, "_id").limit(max_labelled), "labelled")
+    marks = stage(marks.withColumn("learn", F.lit(True) if k is not None else half).orderBy(order, "_id").limit(max_labelled), "labelled")
     target = docs.join(F.broadcast(marks.filter("good and learn").select(F.col("_id").alias(id_col))), id_col, "left_semi")
-    model = train(count_buckets(target, text_col), count_buckets(docs, text_col))
-    scored = stage(weigh(docs, model, text_col), "scored")
+    model = train(count_buckets(target, text_col, counts), count_buckets(docs, text_col, counts), prior, sure)
+    scored = stage(weigh(docs, model, text_col, power), "scored")
+    out = scored.withColumn("sample_key", gumbel_key(F.col("score"), F.col(f"`{id_col}`"), temperature, seed))
     if k is None:
-        judged = scored.select(F.col(f"`{id_col}`").alias("_id"), "score").join(F.broadcast(marks.filter("good and not learn")), "_id").groupBy("_id").agg(F.min("score").alias("score")).collect()
-        cut = float(np.quantile([r.score for r in judged], 1 - good_kept)) if judged else -np.inf
-        k = scored.filter(F.col("score") >= F.lit(float(cut))).count()
-    u = (F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(seed + 2)), F.lit(2**52)) + 0.5) / float(2**52)
-    out = scored.withColumn("sample_key", F.col("score") / temperature - F.log(-F.log(u)))
+        judged = out.select(F.col(f"`{id_col}`").alias("_id"), "sample_key").join(F.broadcast(marks.filter("good and not learn")), "_id").groupBy("_id").agg(F.min("sample_key").alias("key")).collect()
+        cut = float(np.quantile([r.key for r in judged], 1 - good_kept)) if judged else -np.inf
+        k = out.filter(F.col("sample_key") >= F.lit(float(cut))).count()
     least = kth_largest(out, "sample_key", k)
     return out.withColumn("kept", F.col("sample_key") >= F.lit(least) if least is not None else F.lit(k > 0))

@@ -111,9 +111,9 @@ QUERIES["op5_html_extraction"] = op5_html_extraction
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality_classifier import quality_classifier
+    from .quality_classifier import SHARPENED, quality_classifier
 
-    out = quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    out = quality_classifier(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), **SHARPENED)
     return out.select("doc_id", "n_features", "score", "sample_key", "kept")
 
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -126,13 +127,44 @@ def graded(spark):
 
 def test_classifier_keeps_clean_and_drops_bad(graded):
     docs, labels = graded
-    out = qc.quality_classifier(docs, labels).collect()
+    out = qc.quality_classifier(docs, labels, **qc.SHARPENED).collect()
     assert len(out) == docs.count()
     kept = {r.doc_id: r.kept for r in out}
     share = lambda rest: np.mean([kept[i] for i in range(1500) if i % 5 in rest])
     assert share({2, 3, 4}) > 0.97 and share({0}) < 0.02 and share({1}) < 0.05
-    k = qc.quality_classifier(docs, labels, k=100).filter("kept").count()
-    assert 100 <= k <= 103
+
+
+def test_importance_sample_against_plain(graded):
+    """Weights and sample as a plain version counts them, word by word."""
+    docs, labels = graded
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    marks = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            marks.setdefault(r.doc_id, []).append(r.quality == 1 and not r.toxic)
+    good = {i for i, m in marks.items() if all(m)}
+    grams = []
+    for _, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        grams.append(qc.features(data, np.array([0, len(data)]))[0].tolist())
+    raw, target = Counter(), Counter()
+    for (i, _), g in zip(rows, grams, strict=True):
+        raw.update(g)
+        if i in good:
+            target.update(g)
+    scale = sum(target.values()) / sum(raw.values())
+    want = [sum(math.log((target[x] + 1) / (raw[x] * scale + 1)) for x in g) for g in grams]
+    got = {r.doc_id: r for r in qc.quality_classifier(docs, labels, k=700).collect()}
+    for (i, _), w, g in zip(rows, want, grams, strict=True):
+        assert math.isclose(got[i].score, w, rel_tol=1e-4, abs_tol=1e-3) and got[i].n_features == len(g)
+    assert min(want) < -5 and max(want) > 5
+    noise = {r.doc_id: r.sample_key - r.score for r in got.values()}
+    u = sorted(math.exp(-math.exp(-x)) for x in noise.values())
+    assert max(abs(x - (k + 0.5) / len(u)) for k, x in enumerate(u)) < 0.05  # Gumbel noise
+    top = sorted(got.values(), key=lambda r: -r.sample_key)
+    assert {r.doc_id for r in top[:700]} == {r.doc_id for r in got.values() if r.kept}
+    clean = np.mean([got[i].kept for i in range(1500) if i % 5 > 1])
+    assert clean > 0.7 > 0.2 > np.mean([got[i].kept for i in range(1500) if i % 5 < 2])
 
 
 def test_classifier_odd_tables(graded):
