@@ -59,6 +59,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def fresh(name: str, taken) -> str:
+    """name, with underscores before it until no column bears it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 def learned_fold(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo modulus (null id: null)."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

@@ -9,14 +9,16 @@ shingle sets.
 Equal sets are one node from the start. The nodes of all buckets that hang together
 form families; a family is compared in tiles of a few hundred nodes by a product of
 its shingle matrices, which yields each tile's links as a spanning forest. So neither
-the pairs of a bucket nor the links of a group are ever rows. Families over a limit
-(many texts around one common passage) are first taken apart by longer keys.
+the pairs of a bucket nor the links of a group are ever rows. A family of more than one
+tile (as of many texts around one common passage) is first taken apart without loss: of
+two sets that are alike enough, the rarest few shingles of one and of the other, in one
+order of rarity, have one in common (prefix filtering), so a family falls into
+those that hang together by such shingles.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,16 +87,41 @@ def _signer(width: int, m: int, half: int):
     return run
 
 
-def _resign(width: int, m: int, half: int):
-    """node, packed -> node, halves by other hashes."""
+#: Shingles are counted in so many slots, for the order of rarity: a fixed size, whatever the corpus.
+RARITY_BITS = 20
+
+
+def _count_shingles(width: int):
+    """node, packed -> slot, n: in how many of the sets a shingle of the slot stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            rows = []
             for x in batch.column(1).to_pylist():
-                data = unpack(x)
-                rows.append(half_keys(*shingle_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), width), m, half)[0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "halves"])
+                total += np.bincount((_set_of(unpack(x), width) >> _U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
+
+    return run
+
+
+def rarest(own: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
+    """The rarest shingles of a set, as many as must hold one that a set alike to
+    percent has among its own rarest: size - ceil(size * percent / 100) + 1."""
+    order = np.lexsort((own, count[(own >> _U64(64 - RARITY_BITS)).astype(np.int64)]))
+    return own[order[: len(own) - -(-len(own) * percent // 100) + 1]]
+
+
+def _rare_shingles(width: int, percent: int, shared):
+    """node, packed, comp -> node, comp, shingle for each of the node's rarest shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = [rarest(_set_of(unpack(x), width), shared.value, percent) for x in part.column(1).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(rows)), [len(x) for x in rows]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(2).take(of), pa.array(np.concatenate(rows).view(np.int64))], ["node", "comp", "shingle"])
 
     return run
 
@@ -202,12 +229,16 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return found
 
 
-def families(halves: DataFrame, m: int) -> DataFrame:
-    """(node, comp): the nodes that share a bucket with others, and their family, from
-    (node, halves)."""
+def table_keys(halves: DataFrame, m: int) -> DataFrame:
+    """(node, key): the keys of the m * m tables, from (node, halves)."""
     each = F.sequence(F.lit(0), F.lit(m - 1))
     keys = F.flatten(F.transform(each, lambda i: F.transform(each, lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j + m)))))
-    buckets = halves.select("node", F.explode(keys).alias("key"))
+    return halves.select("node", F.explode(keys).alias("key"))
+
+
+def families(buckets: DataFrame) -> DataFrame:
+    """(node, comp): the nodes that share a bucket with others, and their family, from
+    (node, key)."""
     pivots = stage(buckets.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"), "pivots")
     star = thin(buckets.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     drop_staged(pivots)
@@ -217,6 +248,21 @@ def families(halves: DataFrame, m: int) -> DataFrame:
     return out
 
 
+def split_families(found: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, comp) with each family taken apart into those that hang together by rare
+    shingles. No two sets alike to percent are parted; nodes that are alone are left out."""
+    spark = found.sparkSession
+    got = texts.join(found.select("node"), "node", "left_semi").mapInArrow(_count_shingles(shingle), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(1 << RARITY_BITS, np.int64)
+    count[got["slot"].to_numpy()] = got["n"].to_numpy()
+    rows = texts.join(found, "node").select("node", "packed", "comp")
+    kinds = rows.select("node", "comp").schema.add("shingle", T.LongType())
+    rare = stage(rows.mapInArrow(_rare_shingles(shingle, percent, spark.sparkContext.broadcast(count)), kinds), "rare")
+    out = families(rare.select("node", F.xxhash64("comp", "shingle").alias("key")))
+    drop_staged(rare)
+    return out
+
+
 def _link_tiles(width: int, percent: int, kind: pa.DataType):
     def run(group: pa.Table) -> pa.Table:
         cols = {c: group.column(c).to_pylist() for c in ("comp", "lo", "hi", "tile", "node", "packed")}
@@ -240,40 +286,21 @@ def _link_tiles(width: int, percent: int, kind: pa.DataType):
     return run
 
 
-#: Nodes of a tile, about; and the size from which a family is first taken apart.
+#: Nodes of a tile, about.
 TILE = 384
-LARGE_FAMILY = 16384
-#: Most tables (a side) and minhashes of the keys that take large families apart.
-LONG_TABLES, LONG_HALF = 48, 6
-
-
-def long_keys(percent: int, m: int, half: int) -> tuple[int, int] | None:
-    """m and half of the keys that take large families apart: the longest that miss a
-    link at the threshold with at most a tenth of the chance of the first keys (m and
-    half), or None if none do. At 80 (10, 2) they are (42, 6), at 85 (9, 2) (30, 6)."""
-    alike = percent / 100
-    if alike >= 1:
-        return 1, LONG_HALF
-    for n in range(LONG_HALF, half, -1):
-        tables = math.ceil((m * math.log1p(-(alike**half)) - math.log(10)) / math.log1p(-(alike**n)))
-        if tables <= LONG_TABLES:
-            return tables, n
-    return None
-
-
-def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m: int, half: int, tile: int = TILE, large: int = LARGE_FAMILY) -> DataFrame:
+
+
+def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m: int, tile: int = TILE) -> DataFrame:
     """Links (a, b) between nodes: within each tile pair of a family, a spanning forest
     of the pairs whose full sets are similar enough."""
-    found = families(reps.select("node", "halves"), m)
+    found = families(table_keys(reps.select("node", "halves"), m))
     texts = stage(signed.filter("set_key is not null").join(found, F.col("id") == F.col("node"), "left_semi").dropDuplicates(["id", "set_key"]).select(F.col("id").alias("node"), "packed"), "texts")
     sizes = stage(found.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
-    longer = long_keys(percent, m, half)
-    if longer and sizes.filter(F.col("n") > large).limit(1).count():
-        big = found.join(sizes.filter(F.col("n") > large).select("comp"), "comp", "left_semi")
-        again = stage(texts.join(big.select("node"), "node", "left_semi").mapInArrow(_resign(shingle, *longer), reps.select("node", "halves").schema), "halves")
-        small = found.join(sizes.filter(F.col("n") > large).select("comp"), "comp", "left_anti").select("node", "comp")
-        found = stage(small.union(families(again, longer[0])), "families")
-        sizes = stage(found.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
+    several = sizes.filter(F.col("n") > tile).select("comp")
+    apart = split_families(found.join(several, "comp", "left_semi"), texts, shingle, percent)
+    whole = found
+    found = stage(whole.join(several, "comp", "left_anti").select("node", "comp").union(apart.select("node", "comp")), "families")
+    sizes = stage(found.groupBy("comp").agg(F.count("*").alias("n")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / tile)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -290,7 +317,7 @@ def all_links(signed: DataFrame, reps: DataFrame, shingle: int, percent: int, m:
     return out
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = 10, half: int = 2) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, m: int = 10, half: int = 2, tile: int = TILE) -> DataFrame:
     """For each row of docs: id_col, n_shingles (distinct shingles), component_id (the
     smallest id linked directly or over others) and kept (id = component_id).
 
@@ -301,7 +328,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked with nothing, has a null component and is kept. An empty table gives none.
 
     A link at the threshold is missed by all tables with a chance of about
-    2 * (1 - (percent / 100) ** half) ** m, and by a tenth more in large families.
+    2 * (1 - (percent / 100) ** half) ** m. Other columns of docs are left out (see
+    near_duplicates()). Texts of any length are compared whole.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -312,7 +340,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owned = stage(signed.filter(real).select("id", "n_shingles", "set_key").join(reps.select("set_key", "node"), "set_key").select("id", "n_shingles", "node"), "owned")
     several = owned.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("hi")).filter("a <> hi").select("id", "a")
     of_one_id = owned.join(several, "id").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = all_links(signed, reps, shingle, percent, m, half).union(of_one_id)
+    links = all_links(signed, reps, shingle, percent, m, tile).union(of_one_id)
     comp = components(reps.select("node").distinct(), links)
     found = owned.join(comp, "node").select("id", "n_shingles", F.col("comp").alias("component_id"))
     rest = signed.filter(~real).select("id", "n_shingles", F.col("id").alias("component_id"))

@@ -23,28 +23,43 @@ def test_near_groups_against_all_pairs(docs, corpus, width, percent):
         assert (out[i].n_shingles, out[i].component_id, out[i].kept) == (len(brute.shingle_set(t, width)), want[i], want[i] == i)
 
 
-def test_tiles_and_long_keys_lose_no_link(spark, docs, corpus, monkeypatch):
-    monkeypatch.setattr(mh.all_links, "__defaults__", (3, 6))
-    out = {r.doc_id: r.component_id for r in mh.near_groups(docs, shingle=3, percent=85).collect()}
-    assert out == brute.components(corpus, 3, 85)
-
-
-@pytest.mark.parametrize(("percent", "m", "half"), [(80, 10, 2), (85, 9, 2), (70, 10, 2), (100, 10, 2)])
-def test_long_keys_miss_no_more_than_the_first(percent, m, half):
-    miss = lambda m, half: 2 * (1 - (percent / 100) ** half) ** m
-    assert miss(*mh.long_keys(percent, m, half)) <= 0.1 * miss(m, half)
-    assert mh.long_keys(30, m, half) is None
-
-
-def test_long_keys_keep_pairs_at_the_threshold():
-    m, half = mh.long_keys(80, 10, 2)
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        # 150 pairs of sets with 40 shared and 5 own shingles each: 40 / 50.
-        shared, own = rng.integers(1, 2**63, (150, 1, 40), dtype=np.uint64), rng.integers(1, 2**63, (150, 2, 5), dtype=np.uint64)
-        h = np.concatenate([np.repeat(shared, 2, 1), own], 2)
-        keys = mh.half_keys(h.ravel(), np.arange(0, h.size + 1, 45), m, half).reshape(150, 2, 2, m)
-        assert (keys[:, 0] == keys[:, 1]).any(2).all()
+@pytest.mark.parametrize("percent", [60, 85])
+def test_small_tiles_lose_no_link(docs, corpus, percent):
+    """Tiles of three nodes: every family is taken apart and compared in pairs of tiles."""
+    out = {r.doc_id: r.component_id for r in mh.near_groups(docs, shingle=3, percent=percent, m=12, half=1, tile=3).collect()}
+    assert out == brute.components(corpus, 3, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_sets_alike_have_a_rare_shingle_in_common(percent):
+    rng = np.random.default_rng(4)
+    count = rng.integers(0, 50, 1 << mh.RARITY_BITS)
+    common = rng.integers(1, 2**63, 400, dtype=np.uint64)
+    met = 0
+    for _ in range(2000):
+        shared = rng.choice(common, rng.integers(1, 60), replace=False)
+        x, y = (np.unique(np.concatenate([shared, rng.integers(1, 2**63, rng.integers(0, 12), dtype=np.uint64)])) for _ in range(2))
+        if 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)):
+            met += 1
+            assert len(np.intersect1d(mh.rarest(x, count, percent), mh.rarest(y, count, percent)))
+    assert met > 5
+
+
+def test_texts_around_one_passage_fall_apart(spark):
+    """They share most tables' keys, but no rare shingle, so they are not compared with each other."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"v{rng.randrange(10**5)}" for _ in range(n))
+    passage = say(70)
+    rows = [(i, f"{passage} {say(30)}") for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = df.select(F.col("doc_id").alias("node"), "text").collect()
+    texts = spark.createDataFrame([(r.node, bytearray(mh.pack(r.text.encode()))) for r in sets], "node long, packed binary")
+    found = texts.select("node", F.lit(0).cast("long").alias("comp"))
+    apart = mh.split_families(found, texts, 3, 80).groupBy("comp").agg(F.sort_array(F.collect_list("node")).alias("nodes")).collect()
+    assert sorted(r.nodes for r in apart) == [[i, 200 + i] for i in range(5)]
+    out = {r.doc_id: r.component_id for r in mh.near_groups(df, shingle=3, percent=80, tile=10).collect()}
+    assert out == brute.components(rows, 3, 80)
 
 
 def test_near_groups_odd_rows(spark, no_docs):
