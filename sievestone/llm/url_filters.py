@@ -1,9 +1,10 @@
 """URL filtering by longest-match path rules and by association rules.
 
 FP-growth mines combinations of URL tokens that go with a bad label; rules with
-too little confidence or support are pruned, as are rules that a shorter one
-already implies. An inverted index from token to rules finds the rules of a URL,
-row by row and without a shuffle.
+too little confidence (in itself and beside the share of bad rows in all) or support are
+pruned, as are rules that a shorter one already implies. The rules that are left are a
+table and an inverted index: a rule is listed under its rarest token, and urls meet
+it in a join by token.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import drop_staged, fresh, stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BAD = "label=bad"
 
@@ -63,46 +66,50 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: F.length(x) > 2))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 10) -> list[tuple[frozenset, float]]:
-    """Association rules tokens -> bad from labelled (url, bad boolean): a list of
-    (tokens, confidence), sorted. A token set counts if it holds in a share of
-    min_support of the labelled rows and in min_rows of them at least; so there are
-    at most as many rules as 1 / min_support times the combinations of one URL.
-    Rows with a null url or label teach nothing; without rows there are no rules."""
+def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.3, min_lift: float = 1.5, min_rows: int = 10, min_z: float = 2.5) -> DataFrame:
+    """Association rules tokens -> bad from labelled (url, bad boolean): a table of tokens
+    (array), n (labelled rows that hold them all), confidence (share of bad ones) and anchor
+    (the rarest of the tokens).
+
+    A token set counts if it holds in a share of min_support of the labelled rows and in
+    min_rows of them at least. A rule stays if its confidence is min_confidence or more,
+    min_lift times the share of bad rows in all, and so many (min_z) standard errors
+    above that share that chance is no likely cause; and if no other rule's tokens are
+    among its own. Rows with a null url or label teach nothing; without rows, or without
+    bad ones, there are no rules. The rules are a written table and never on the driver."""
+    spark = labelled.sparkSession
+    kind = "tokens array<string>, n long, confidence double, anchor string"
     rows = labelled.filter("url is not null and bad is not null").select(
         F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items")
     )
     n, bad = rows.agg(F.count("*"), F.count(F.when(F.array_contains("items", BAD), 1))).first()
-    if not n or not bad:
-        return []
-    support = max(min_support, min_rows / n)
-    if support > 1:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD))).select("antecedent", "confidence").collect()
-    ranked = sorted(((frozenset(r.antecedent), float(r.confidence)) for r in found), key=lambda r: (len(r[0]), sorted(r[0])))
-    kept: list[tuple[frozenset, float]] = []
-    for tokens, confidence in ranked:
-        if not any(t <= tokens for t, _ in kept):
-            kept.append((tokens, confidence))
+    support = max(min_support, min_rows / n) if n else 2.0
+    if not bad or support > 1:
+        return spark.createDataFrame([], kind)
+    base = bad / n
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=max(min_confidence, min_lift * base) if min_lift * base < 1 else 1.0).fit(rows)
+    sets = model.freqItemsets
+    with_bad = F.array_contains("items", BAD)
+    both = sets.filter(with_bad & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n_bad"))
+    alone = sets.filter(~with_bad).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
+    confidence = F.col("n_bad") / F.col("n")
+    sure = (confidence - base) >= min_z * F.sqrt(F.lit(base * (1 - base)) / F.col("n"))
+    found = both.join(alone, "tokens").filter((confidence >= min_confidence) & (confidence >= min_lift * base) & sure).select("tokens", "n", confidence.alias("confidence"))
+    single = alone.filter(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), F.col("n").alias("frequency"))
+    anchors = found.select("tokens", F.explode("tokens").alias("token")).join(single, "token").groupBy("tokens").agg(F.min(F.struct("frequency", "token"))["token"].alias("anchor"))
+    rules = stage(found.join(anchors, "tokens").select("tokens", "n", "confidence", "anchor"), "url-rules")
+    implied = matching(rules, rules.select(F.col("tokens").alias("need"), "anchor")).filter(F.size("need") < F.size("tokens")).select("tokens").distinct()
+    kept = stage(rules.join(implied, "tokens", "left_anti"), "url-rules")
+    drop_staged(rules)
     return kept
 
 
-def matches(tokens: Column, rules: Sequence[tuple[frozenset, float]]) -> Column:
-    """True if all tokens of any rule are among tokens. Only the rules listed in
-    the inverted index under a token of the row are looked at."""
-    if not rules:
-        return F.lit(False)
-    index: dict[str, list[int]] = {}
-    for i, (need, _) in enumerate(rules):
-        for t in sorted(need):
-            index.setdefault(t, []).append(i)
-    keys = F.array(*[F.lit(t) for t in index])
-    lists = F.array(*[F.array(*[F.lit(i) for i in ids]) for ids in index.values()])
-    inverted = F.map_from_arrays(keys, lists)
-    sizes = F.array(*[F.lit(len(need)) for need, _ in rules])
-    hits = F.flatten(F.filter(F.transform(tokens, lambda t: F.element_at(inverted, t)), lambda x: x.isNotNull()))
-    return F.exists(F.array_distinct(hits), lambda r: F.size(F.filter(hits, lambda h: h == r)) == F.element_at(sizes, r + 1))
+def matching(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows (with tokens) with each rule (need, anchor) of which they have all tokens.
+    index is the inverted index: a rule is listed under its anchor, so a row meets, in a
+    join by token, the rules of its own tokens only."""
+    met = rows.drop("anchor").withColumn("anchor", F.explode("tokens")).join(index.select("need", "anchor"), "anchor")
+    return met.filter(F.forall("need", lambda t: F.array_contains("tokens", t)))
 
 
 def url_filter(pages: DataFrame, labelled: DataFrame, path_rules: Sequence[PathRule] = PATH_RULES, url_col: str = "url", **mining) -> DataFrame:
@@ -110,18 +117,26 @@ def url_filter(pages: DataFrame, labelled: DataFrame, path_rules: Sequence[PathR
 
     rule is the longest path rule that fits (else null); its verdict wins. Other
     urls are blocked if a mined rule matches, else allowed. A null url has empty
-    host and path and is allowed. Columns of pages with these names are replaced.
+    host and path and is allowed. Repeated rows are judged alike; very long urls are
+    read whole. Columns of pages with these names are replaced, others stay.
     """
     rules = mine_rules(labelled, **mining)
     url = F.col(f"`{url_col}`")
-    df = pages.withColumns({"host": url_host(url), "path": url_path(url), "_matched": matches(url_tokens(url), rules)})
+    # Urls of one set of tokens are judged as one: only matched sets meet the pages again.
+    token_set = lambda tokens: F.md5(F.concat_ws("\u0001", F.array_sort(tokens)).cast("binary"))
+    sets = pages.select(url_tokens(url).alias("tokens"))
+    blocked = matching(sets.select("tokens", token_set(F.col("tokens")).alias("token_set")), rules.select(F.col("tokens").alias("need"), "anchor")).select("token_set").distinct()
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    host, path = url_host(url), url_path(url)
     for r in sorted(path_rules, key=lambda r: (len(r.text), r.text)):
-        fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
+        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         rule = F.when(fits, F.lit(r.text)).otherwise(rule)
         verdict = F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-    df = df.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("_matched"), F.lit("block")).otherwise(F.lit("allow")))})
-    return df.drop("_matched")
+    at, of, judged = (fresh(name, pages.columns) for name in ("token_set", "matched_set", "path_verdict"))
+    df = pages.withColumns({"host": host, "path": path, "rule": rule, at: token_set(url_tokens(url)), judged: verdict})
+    df = df.join(blocked.withColumnRenamed("token_set", of), F.col(f"`{at}`") == F.col(f"`{of}`"), "left")
+    mined = F.when(F.col(f"`{of}`").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
+    return df.withColumn("verdict", F.coalesce(F.col(f"`{judged}`"), mined)).drop(at, of, judged)
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:

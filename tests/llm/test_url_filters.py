@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,28 +38,38 @@ def test_path_rules(spark, pages):
 
 def test_mined_rules_against_plain_counting(spark):
     data = labelled(spark)
-    rules = uf.mine_rules(data, 0.01, 0.9)
-    rows = data.filter("url is not null and bad is not null").select(uf.url_tokens(F.col("url")).alias("t"), "bad").collect()
-    assert rules
-    for need, confidence in rules:
-        hit = [r.bad for r in rows if need <= set(r.t)]
-        assert len(hit) >= 10 and abs(sum(hit) / len(hit) - confidence) < 1e-9 and confidence >= 0.9
-    assert not any(a < b for a, _ in rules for b, _ in rules)
-
-
-def test_matching_against_plain(spark):
+    rows = [(frozenset(r.t), r.bad) for r in data.filter("url is not null and bad is not null").select(uf.url_tokens(F.col("url")).alias("t"), "bad").collect()]
+    base = sum(bad for _, bad in rows) / len(rows)
+    want = {}
+    for tokens in {frozenset(c) for t, _ in rows for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n)}:
+        hit = [bad for t, bad in rows if tokens <= t]
+        confidence = sum(hit) / len(hit)
+        if len(hit) >= 10 and confidence >= max(0.3, 1.5 * base) and confidence - base >= 2.5 * (base * (1 - base) / len(hit)) ** 0.5:
+            want[tokens] = (len(hit), confidence)
+    want = {t: x for t, x in want.items() if not any(s < t for s in want)}
+    got = {frozenset(r.tokens): (r.n, r.confidence, r.anchor) for r in uf.mine_rules(data, 0.01).collect()}
+    assert set(got) == set(want) and want
+    for t, (n, confidence, anchor) in got.items():
+        assert n == want[t][0] and abs(confidence - want[t][1]) < 1e-9
+        assert sum(anchor in x for x, _ in rows) == min(sum(y in x for x, _ in rows) for y in t)
+
+
+def test_rules_decide_where_no_path_rule_fits(spark):
+    """Against plain matching; urls of .org hosts, for which there is no path rule."""
     data = labelled(spark).filter("url is not null").select(F.monotonically_increasing_id().alias("page_id"), "url")
-    rules = uf.mine_rules(labelled(spark), 0.01, 0.9)
-    out = uf.url_filter(data, labelled(spark), min_support=0.01, min_confidence=0.9)
-    for r in out.select("url", "verdict", uf.url_tokens(F.col("url")).alias("t")).collect():
-        assert (r.verdict == "block") == any(need <= set(r.t) for need, _ in rules)
+    rules = [frozenset(r.tokens) for r in uf.mine_rules(labelled(spark), 0.01).collect()]
+    out = uf.url_filter(data, labelled(spark), min_support=0.01).select("url", "rule", "verdict", uf.url_tokens(F.col("url")).alias("t")).collect()
+    for r in out:
+        assert r.rule is None and (r.verdict == "block") == any(need <= set(r.t) for need in rules)
+    assert 10 < sum(r.verdict == "block" for r in out) < len(out) / 2
 
 
 def test_native_and_extra_columns(spark, pages):
-    out = uf.url_filter(pages.withColumn("host", F.lit(1)).withColumn("z", F.lit(2)), labelled(spark), min_support=0.01)
-    assert out.columns.count("host") == 1 and out.count() == len(CASES)
+    odd = pages.withColumn("host", F.lit(1)).withColumn("z", F.lit(2)).withColumn("token_set", F.lit("mine")).withColumn("matched_set", F.lit("too"))
+    out = uf.url_filter(odd, labelled(spark), min_support=0.01)
+    assert out.columns.count("host") == 1 and out.count() == len(CASES) and out.filter("token_set = 'mine' and matched_set = 'too'").count() == len(CASES)
     plan = out._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    assert "Python" not in plan and "Arrow" not in plan
     assert uf.url_filter(pages.limit(0), labelled(spark)).count() == 0
     assert uf.url_filter(pages.union(pages), labelled(spark)).count() == 2 * len(CASES)
 
