@@ -91,20 +91,32 @@ def _signer(width: int, m: int, half: int):
 RARITY_BITS = 20
 
 
+#: Slots counted together in a row.
+_SLOTS = 1 << 14
+
+
 def _count_shingles(width: int):
-    """node, packed -> slot, n: in how many of the sets a shingle of the slot stands."""
+    """node, packed -> part, n: in how many of the sets a shingle of each slot of a part stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
             for x in batch.column(1).to_pylist():
                 total += np.bincount((_set_of(unpack(x), width) >> _U64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["slot", "n"])
+        parts = total.reshape(-1, _SLOTS)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(parts[k].tobytes()) for k in some], pa.binary())], ["part", "n"])
 
     return run
 
 
+def _add_counts(rows: pa.Table) -> pa.Table:
+    total = np.zeros(_SLOTS, np.int64)
+    for x in rows.column("n").to_pylist():
+        total += np.frombuffer(unpack(x), np.int64)
+    return pa.table({"part": pa.array([rows.column("part")[0].as_py()], pa.int32()), "n": pa.array([pack(total.tobytes())], pa.binary())})
+
+
 def rarest(own: np.ndarray, count: np.ndarray, percent: int) -> np.ndarray:
     """The rarest shingles of a set, as many as must hold one that a set alike to
     percent has among its own rarest: size - ceil(size * percent / 100) + 1."""
@@ -252,9 +264,11 @@ def split_families(found: DataFrame, texts: DataFrame, shingle: int, percent: in
     """(node, comp) with each family taken apart into those that hang together by rare
     shingles. No two sets alike to percent are parted; nodes that are alone are left out."""
     spark = found.sparkSession
-    got = texts.join(found.select("node"), "node", "left_semi").mapInArrow(_count_shingles(shingle), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    count = np.zeros(1 << RARITY_BITS, np.int64)
-    count[got["slot"].to_numpy()] = got["n"].to_numpy()
+    got = texts.join(found.select("node"), "node", "left_semi").mapInArrow(_count_shingles(shingle), "part int, n binary").groupBy("part").applyInArrow(_add_counts, "part int, n binary")
+    count = np.zeros(((1 << RARITY_BITS) // _SLOTS, _SLOTS), np.int64)
+    for row in got.collect():  # 64 rows at most, of 128 KB at most
+        count[row.part] = np.frombuffer(unpack(bytes(row.n)), np.int64)
+    count = count.ravel()
     rows = texts.join(found, "node").select("node", "packed", "comp")
     kinds = rows.select("node", "comp").schema.add("shingle", T.LongType())
     rare = stage(rows.mapInArrow(_rare_shingles(shingle, percent, spark.sparkContext.broadcast(count)), kinds), "rare")
