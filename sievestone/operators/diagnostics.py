@@ -7,16 +7,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Line classes, the first that fits; a line is matched as a whole.
+#: Line classes, the first that fits; a line is matched as a whole. Lines of a docstring are none of them.
 LINE_CLASSES = (
-    ("blank", "^[ \\t]*$"),
     ("comment", "^[ \\t]*(#|//|\\*|--)"),
-    ("logging", "^[ \\t]*(log|logger|logging|console|print)[.(]"),
     ("imports", "^[ \\t]*(import|from|using|include|#include|require)[ (]"),
-    ("signature", "^[ \\t]*(def|class|func|function|public|private|interface|struct)[ ]"),
+    ("signature", "^[ \\t]*((async )?def|class|func|function|public|private|interface|struct)[ ]|^[ \\t]*@"),
     ("error", "^[ \\t]*(try|except|catch|raise|throw|finally)([ :({]|$)"),
+    ("logging", "^[ \\t]*(log|logger|logging|console|print)[.(]"),
     ("control", "^[ \\t]*(if|else|elif|for|while|switch|case|return|match|with)([ :({]|$)"),
 )
+QUOTES = "\"\"\"|'''"
+FUNCTION, CLASS = "^[ \\t]*(async )?(def|func|function)[ ]", "^[ \\t]*(class|interface|struct)[ ]"
 
 # Action types, the smallest wins; and the rules that propose them.
 ACTIONS = {"PROTECT": 1, "KEEP": 2, "COMPACT": 3, "DEDUPE": 4, "DOWNWEIGHT": 5, "DROP": 6}
@@ -49,22 +50,49 @@ def line_class(line: Column) -> Column:
     return out.otherwise("code")
 
 
+def line_kinds(lines: Column) -> Column:
+    """The class of each line, read in order: from a line that opens a docstring to the one that
+    closes it all are docstring; a line with both is by itself."""
+
+    def step(state: Column, line: Column) -> Column:
+        quotes = F.size(F.regexp_extract_all(line, F.lit(f"({QUOTES})"), F.lit(1)))
+        opens = line.rlike(f"^[ \\t]*[rRbBuU]?({QUOTES})")
+        inside = state["inside"]
+        kind = F.when(inside | opens, "docstring").otherwise(line_class(line))
+        after = F.when(inside, quotes == 0).otherwise(opens & (quotes < 2))
+        return F.struct(after.alias("inside"), F.concat(state["kinds"], F.array(kind)).alias("kinds"))
+
+    return F.aggregate(lines, F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kinds")), step)["kinds"]
+
+
 def composition(blocks: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, n_lines, and the percentage of each class of line with text; boilerplate is the
     share of lines over 20 characters that repeat an earlier one of the block."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
     long = F.filter(lines, lambda x: F.length(F.trim(x)) > 20)
     x = blocks.select(key, lines.alias("l"), long.alias("long"))
-    x = x.withColumn("kinds", F.transform("l", line_class))
+    x = x.withColumn("kinds", line_kinds(F.col("l")))
     n = F.size("l")
     share = lambda name: F.when(n == 0, 0.0).otherwise(F.size(F.filter("kinds", lambda k: k == name)) * 100.0 / n)
-    out = {f"{name}_pct": share(name) for name in ("comment", "logging", "imports", "signature", "error", "control", "code")}
+    out = {f"{name}_pct": share(name) for name in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring")}
     m = F.size("long")
-    count = lambda name: F.size(F.filter("kinds", lambda k: k == name))
-    return x.select(
-        key, n.alias("n_lines"), *[c.alias(k) for k, c in out.items()], F.lit(0.0).alias("docstring_pct"),
-        F.when(m == 0, 0.0).otherwise((m - F.size(F.array_distinct("long"))) / m).alias("boilerplate"), count("signature").alias("definitions"), count("signature").alias("functions"),
+    of = F.arrays_zip("kinds", "l")
+    count = lambda pattern: F.size(F.filter(of, lambda z: (z["kinds"] == "signature") & z["l"].rlike(pattern)))
+    x = x.select(
+        key, n.alias("n_lines"), *[c.alias(k) for k, c in out.items()],
+        F.when(m == 0, 0.0).otherwise((m - F.size(F.array_distinct("long"))) / m).alias("boilerplate"), count(FUNCTION).alias("functions"), count(CLASS).alias("_classes"),
+    )
+    return x.withColumn("definitions", F.col("functions") + F.col("_classes")).drop("_classes")
+
+
+def warnings(measured: DataFrame) -> Column:
+    """What stands out in a block."""
+    c = F.col
+    all_ = (
+        F.when(c("signal") < 0.3, "noise"), F.when(c("comment_pct") > 40, "comments"), F.when(c("logging_pct") > 20, "logging"),
+        F.when(c("error_pct") > 30, "error_handling"), F.when(c("boilerplate") > 0.3, "repeats"),
     )
+    return F.array_compact(F.array(*all_))
 
 
 def signal_noise(measures: DataFrame) -> DataFrame:
@@ -72,7 +100,8 @@ def signal_noise(measures: DataFrame) -> DataFrame:
     s = F.col("code_pct") + F.col("control_pct") + 0.5 * F.col("signature_pct")
     n = 0.5 * F.col("comment_pct") + F.col("logging_pct") + F.col("imports_pct") + 0.3 * F.col("docstring_pct") + 20 * F.col("boilerplate")
     none = (s + n) == 0
-    cap = lambda c: F.round(F.least(F.lit(1.0), c / 100), 2)
+    # Rounded in binary: 0.575 is a little less than that.
+    cap = lambda c: F.floor(F.least(F.lit(1.0), c / 100) * 100 + 0.5) / 100
     return measures.withColumns({"signal": F.when(none, 0.5).otherwise(cap(s)), "noise": F.when(none, 0.5).otherwise(cap(n))})
 
 

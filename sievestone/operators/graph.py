@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared checkpoint folder, so loops don't pile up lineage."""
+    """df as a table in the shared folder, so loops don't pile up lineage."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="sievestone-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/hop-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/hop-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ from ..functions import answers as an
 from ..functions import classify as cl
 from ..operators import diagnostics as dg
 from ._base import table, with_corpus
+from ._code import code_blocks, with_code
 from .textual import _rules_sql
 
 QUERIES, ORACLE = {}, {}
@@ -24,47 +25,65 @@ def query(name: str, sql: str | None = None):
 
 
 _KIND = "case " + " ".join(f"when regexp_matches(x, '{p}') then '{n}'" for n, p in dg.LINE_CLASSES).replace("\\t", "\t") + " else 'code' end"
-_PCT = ", ".join(f"case when n = 0 then 0 else len(list_filter(k, lambda y: y = '{c}')) * 100.0 / n end as {c}_pct" for c in ("comment", "logging", "imports", "signature", "error", "control", "code"))
-_MEASURED = f"""l as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from documents),
-k as (select doc_id, len(l) as n, list_transform(l, lambda x: {_KIND}) as k, list_filter(l, lambda x: length(trim(x)) > 20) as lg from l),
-m as (select doc_id, n, {_PCT}, 0.0 as docstring_pct, case when len(lg) = 0 then 0 else (len(lg) - len(list_distinct(lg))) / len(lg) end as boilerplate, len(list_filter(k, lambda y: y = 'signature')) as definitions from k),
-sn as (select *, code_pct + control_pct + 0.5 * signature_pct as s, 0.5 * comment_pct + logging_pct + imports_pct + 20 * boilerplate as z from m),
-meas as (select *, definitions as functions, case when s + z = 0 then 0.5 else round(least(1.0, s / 100), 2) end as signal, case when s + z = 0 then 0.5 else round(least(1.0, z / 100), 2) end as noise from sn)"""
-_PROPOSED = "prop as (" + " union all ".join(f"select doc_id, '{r.name}' as rule, '{r.action}' as action, {dg.ACTIONS[r.action]} as priority, {r.confidence} as confidence from meas where {r.when}" for r in dg.ACTION_RULES) + ")"
+_PCT = ", ".join(f"count(case when k = '{c}' then 1 end) * 100.0 / count(*) as {c}_pct" for c in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring"))
+# A line is within a docstring if an odd number of lines before it hold one mark alone.
+_MEASURED = f"""li as (select block_id, unnest(l) as x, unnest(range(1, len(l) + 1)) as i from (select block_id, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '') as l from code)),
+lq as (select *, len(regexp_extract_all(x, '\"\"\"')) as q from li), lo as (select *, coalesce(sum(case when q = 1 then 1 else 0 end) over (partition by block_id order by i rows between unbounded preceding and 1 preceding), 0) % 2 = 1 as inside from lq),
+lk as (select *, case when inside or regexp_matches(x, '^ *\"\"\"') then 'docstring' else {_KIND} end as k from lo),
+m as (select block_id, count(*) as n, {_PCT}, case when count(case when length(trim(x)) > 20 then 1 end) = 0 then 0 else (count(case when length(trim(x)) > 20 then 1 end) - count(distinct case when length(trim(x)) > 20 then x end)) / count(case when length(trim(x)) > 20 then 1 end) end as boilerplate,
+  count(case when k = 'signature' and regexp_matches(x, '^ *(def) ') then 1 end) as functions, count(case when k = 'signature' and regexp_matches(x, '^ *(def|class) ') then 1 end) as definitions from lk group by 1),
+sn as (select *, code_pct + control_pct + 0.5 * signature_pct as s, 0.5 * comment_pct + logging_pct + imports_pct + 0.3 * docstring_pct + 20 * boilerplate as z from m),
+meas as (select *, case when s + z = 0 then 0.5 else round(least(1.0, s / 100), 2) end as signal, case when s + z = 0 then 0.5 else round(least(1.0, z / 100), 2) end as noise from sn)"""
+_PROPOSED = "prop as (" + " union all ".join(f"select block_id, '{r.name}' as rule, '{r.action}' as action, {dg.ACTIONS[r.action]} as priority, {r.confidence} as confidence from meas where {r.when}" for r in dg.ACTION_RULES) + ")"
 
 
 def _measured(spark, d):
-    return dg.signal_noise(dg.composition(table(spark, d, "documents"), "doc_id"))
+    return dg.signal_noise(dg.composition(code_blocks(spark, d), "block_id", "content"))
 
 
-@query("block_signal_noise", f"with {_MEASURED} select doc_id, n as n_lines, round(code_pct, 4) as code_pct, round(boilerplate, 6) as boilerplate, cast(signal as double) as signal, cast(noise as double) as noise from meas")
+@query("block_composition", with_code(f", {_MEASURED} select block_id, n as n_lines, " + ", ".join(f"round({c}_pct, 4) as {c}_pct" for c in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring")) + ", functions, definitions from meas"))
+def block_composition(spark, d):
+    x = _measured(spark, d)
+    return x.select("block_id", "n_lines", *[F.round(f"{c}_pct", 4).alias(f"{c}_pct") for c in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring")], "functions", "definitions")
+
+
+@query("block_signal_noise", with_code(f", {_MEASURED} select block_id, n as n_lines, round(code_pct, 4) as code_pct, round(boilerplate, 6) as boilerplate, cast(signal as double) as signal, cast(noise as double) as noise from meas"))
 def block_signal_noise(spark, d):
-    return _measured(spark, d).select("doc_id", "n_lines", F.round("code_pct", 4).alias("code_pct"), F.round("boilerplate", 6).alias("boilerplate"), "signal", "noise")
+    return _measured(spark, d).select("block_id", "n_lines", F.round("code_pct", 4).alias("code_pct"), F.round("boilerplate", 6).alias("boilerplate"), "signal", "noise")
+
 
+@query("block_warnings", with_code(f", {_MEASURED} select block_id, concat_ws(',', case when signal < 0.3 then 'noise' end, case when comment_pct > 40 then 'comments' end, case when logging_pct > 20 then 'logging' end, case when error_pct > 30 then 'error_handling' end, case when boilerplate > 0.3 then 'repeats' end) as warnings from meas"))
+def block_warnings(spark, d):
+    m = _measured(spark, d)
+    return m.select("block_id", F.array_join(dg.warnings(m), ",").alias("warnings"))
 
-@query("action_proposals", f"with {_MEASURED}, {_PROPOSED} select doc_id, rule, action, cast(priority as bigint) as priority, cast(confidence as double) as confidence from prop")
+
+@query("action_proposals", with_code(f", {_MEASURED}, {_PROPOSED} select block_id, rule, action, cast(priority as bigint) as priority, cast(confidence as double) as confidence from prop"))
 def action_proposals(spark, d):
-    return dg.propose(_measured(spark, d), "doc_id")
+    return dg.propose(_measured(spark, d), "block_id")
+
+
+_WIN = "win as (select * from (select *, count(*) over (partition by block_id) as n_proposals, row_number() over (partition by block_id order by priority, confidence desc, rule) as r from prop) where r = 1)"
 
 
-@query("action_winner", f"with {_MEASURED}, {_PROPOSED} select doc_id, rule, action, cast(confidence as double) as confidence, n_proposals from (select *, count(*) over (partition by doc_id) as n_proposals, row_number() over (partition by doc_id order by priority, confidence desc, rule) as r from prop) where r = 1")
+@query("action_winner", with_code(f", {_MEASURED}, {_PROPOSED}, {_WIN} select block_id, rule, action, cast(confidence as double) as confidence, n_proposals from win"))
 def action_winner(spark, d):
-    return dg.winners(dg.propose(_measured(spark, d), "doc_id"), "doc_id")
+    return dg.winners(dg.propose(_measured(spark, d), "block_id"), "block_id")
 
 
-@query("apply_actions", f"with {_MEASURED}, {_PROPOSED}, win as (select * from (select *, row_number() over (partition by doc_id order by priority, confidence desc, rule) as r from prop) where r = 1), gone as (select doc_id from win where action in ('DROP', 'DEDUPE')) select doc_id, source from documents where not (doc_id in (select doc_id from gone) and (select count(*) from gone) <= 0.8 * (select count(*) from documents))")
+@query("apply_actions", with_code(f", {_MEASURED}, {_PROPOSED}, {_WIN}, gone as (select block_id from win where action in ('DROP', 'DEDUPE')) select block_id, file from code where not (block_id in (select block_id from gone) and (select count(*) from gone) <= 0.8 * (select count(*) from code))"))
 def apply_actions(spark, d):
-    actions = dg.winners(dg.propose(_measured(spark, d), "doc_id"), "doc_id")
-    return dg.apply_actions(table(spark, d, "documents").select("doc_id", "source"), actions, "doc_id")
+    actions = dg.winners(dg.propose(_measured(spark, d), "block_id"), "block_id")
+    return dg.apply_actions(code_blocks(spark, d).select("block_id", "file"), actions, "block_id")
 
 
-@query("role_scores", f"""with {_MEASURED}, s as (select doc_id, 0 as o, 'DEFINE' as role, (case when definitions > 0 then 0.5 else 0 end + case when signature_pct > 20 then 0.3 else 0 end) as score from meas
-union all select doc_id, 1, 'IMPLEMENT', (case when code_pct > 40 then 0.5 else 0 end + case when control_pct > 10 then 0.2 else 0 end) from meas
-union all select doc_id, 2, 'EXPLAIN', (case when comment_pct > 20 then 0.3 else 0 end) from meas union all select doc_id, 3, 'SUPPORT', (case when error_pct > 15 then 0.4 else 0 end) from meas
-union all select doc_id, 4, 'NOISE', (case when logging_pct > 20 then 0.5 else 0 end + case when noise > 0.4 then 0.3 else 0 end + case when signal < 0.3 then 0.2 else 0 end) from meas)
-select doc_id, role, cast(score as double) as score from (select *, row_number() over (partition by doc_id order by round(score, 3) desc, o) as r from s) where r = 1""")
+@query("role_scores", with_code(f""", {_MEASURED}, s as (select block_id, 0 as o, 'DEFINE' as role, (case when definitions > 0 then 0.5 else 0 end + case when signature_pct > 20 then 0.3 else 0 end) as score from meas
+union all select block_id, 1, 'IMPLEMENT', (case when code_pct > 40 then 0.5 else 0 end + case when control_pct > 10 then 0.2 else 0 end) from meas
+union all select block_id, 2, 'EXPLAIN', (case when docstring_pct > 30 then 0.5 else 0 end + case when comment_pct > 20 then 0.3 else 0 end) from meas union all select block_id, 3, 'SUPPORT', (case when error_pct > 15 then 0.4 else 0 end) from meas
+union all select block_id, 4, 'NOISE', (case when logging_pct > 20 then 0.5 else 0 end + case when noise > 0.4 then 0.3 else 0 end + case when signal < 0.3 then 0.2 else 0 end) from meas)
+select block_id, role, cast(score as double) as score from (select *, row_number() over (partition by block_id order by round(score, 3) desc, o) as r from s) where r = 1"""))
 def role_scores(spark, d):
-    return dg.roles(_measured(spark, d), "doc_id")
+    return dg.roles(_measured(spark, d), "block_id")
 
 
 @query("sufficiency_decision", with_corpus(""", c as (select item_id as query_id, coalesce(n, 0) as n, coalesce(f, 0) as f from benchmark left join (select query_id, count(*) as n, count(distinct file) as f from fused join docx using (doc_id) group by 1) on item_id = query_id)
@@ -91,15 +110,17 @@ def answer_scores(spark, d):
     return a.select("conv_id", "turn", "kind", an._count(t, an.STEP).alias("steps"), an._count(t, an.CONTRAST).alias("contrasts"), an.step_score(t, k).alias("step_score"), an.contrast_score(t, k).alias("contrast_score"))
 
 
-@query("missing_sources", "select l.lang, s.source from (select distinct lang from documents) l, (select distinct source from documents) s where not exists (select 1 from documents d where d.lang = l.lang and d.source = s.source)")
+@query("missing_sources", "select l.lang, s.source from (select distinct lang from documents where lang is not null) l, (select distinct source from documents) s where not exists (select 1 from documents d join labels b on d.doc_id = b.doc_id where b.toxic = 1 and d.lang = l.lang and d.source = s.source)")
 def missing_sources(spark, d):
-    """Sources without a document of a language: distinct languages and sources are few."""
+    """Sources without a document of a language that is labelled toxic: distinct languages and sources are few."""
     docs = table(spark, d, "documents")
     langs = docs.select("lang").distinct().agg(F.collect_list("lang").alias("langs"))
     required = docs.select("source").distinct().join(F.broadcast(langs)).select(F.explode("langs").alias("lang"), "source")
-    return dg.missing_items(required, docs, "lang", "source").select("lang", "source")
+    toxic = docs.join(table(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return dg.missing_items(required, toxic, "lang", "source").select("lang", "source")
 
 
-@query("repeated_headings", """with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as x from conversations) select conv_id, heading, count(*) as n from (select conv_id, lower(trim(regexp_replace(x, '^#+', ''))) as heading from l where regexp_matches(x, '^#{1,6}[ ]+[^ ]')) group by 1, 2 having count(*) > 1""")
+@query("repeated_headings", with_code(""", l as (select block_id, unnest(string_split(content, chr(10))) as x from code) select block_id, heading, count(*) as n from (select block_id, lower(trim(regexp_replace(trim(x), '^#+', ''))) as heading from l where regexp_matches(trim(x), '^#{1,6}[ ]+[^ ]')) group by 1, 2 having count(*) > 1"""))
 def repeated_headings(spark, d):
-    return dg.repeated_headings(table(spark, d, "conversations"), "conv_id")
+    flat = F.regexp_replace("content", "(^|\n)[ ]+", "$1")
+    return dg.repeated_headings(code_blocks(spark, d).select("block_id", flat.alias("text")), "block_id")

@@ -125,34 +125,28 @@ def graph_stitch(spark, d):
     return graph.graph_stitch(calls.union(uses).dropDuplicates(["src", "dst", "relation"]), seeds)
 
 
-@query("redundancy_clusters", """with recursive e as (select distinct o_custkey as a, l_suppkey as b from orders join lineitem on o_orderkey = l_orderkey where l_quantity >= 50 and l_discount >= 0.1),
-u as (select 'c' || a as src, 's' || b as dst from e union select 's' || b, 'c' || a from e),
-r as (select src as node, src as reach from u union select r.node, u.dst from r join u on r.reach = u.src) select node, min(reach) as component from r group by 1""")
+@query("redundancy_clusters")
 def redundancy_clusters(spark, d):
-    return _trade_clusters(spark, d, "l_quantity >= 50 and l_discount >= 0.1")
-
-
-@query("redundancy_clusters_all")
-def redundancy_clusters_all(spark, d):
-    """redundancy_clusters over all lines. No SQL: the recursive closure is quadratic in a component's nodes."""
+    """Customers and suppliers that hang together by any line. No SQL: the recursive closure is quadratic in a component's nodes."""
     return _trade_clusters(spark, d)
 
 
-def _trade_clusters(spark, d, lines="true"):
-    """Components of the edges customer -> supplier of the chosen lines."""
-    e = table(spark, d, "orders").join(table(spark, d, "lineitem").filter(lines), F.col("o_orderkey") == F.col("l_orderkey"))
+def _trade_clusters(spark, d):
+    """Components of the edges customer -> supplier of all lines."""
+    e = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     e = e.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst")).distinct()
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
     return graph.connected_components(nodes, e)
 
 
-@query("referential_anti", """select 'orders' as source, cast(o_orderkey as bigint) as id from orders where o_custkey not in (select c_custkey from customer) union all select 'lineitem', l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'labels', doc_id from labels where doc_id not in (select doc_id from documents)""")
+@query("referential_anti", """select 'orders' as source, cast(o_orderkey as bigint) as id from orders where o_custkey not in (select c_custkey from customer) union all select 'unsold', o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem) union all select 'lineitem', l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'labels', doc_id from labels where doc_id not in (select doc_id from documents)""")
 def referential_anti(spark, d):
     o, li, lb = table(spark, d, "orders"), table(spark, d, "lineitem"), table(spark, d, "labels")
     a = graph.dangling(o, "o_custkey", table(spark, d, "customer"), "c_custkey").select(F.lit("orders").alias("source"), F.col("o_orderkey").alias("id"))
     b = graph.dangling(li, "l_orderkey", o, "o_orderkey").select(F.lit("lineitem"), "l_orderkey")
     c = graph.dangling(lb, "doc_id", table(spark, d, "documents"), "doc_id").select(F.lit("labels"), "doc_id")
-    return a.union(b).union(c)
+    e = graph.dangling(o, "o_orderkey", li, "l_orderkey").select(F.lit("unsold"), "o_orderkey")
+    return a.union(b).union(c).union(e)
 
 
 @query("scope_chains", """with x as (select 'n' || n_nationkey as id, n_name as name, r_name as up from nation join region on n_regionkey = r_regionkey) select id, up || '/' || name as scope from x union all select 'r' || r_regionkey, r_name from region""")
