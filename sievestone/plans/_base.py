@@ -18,12 +18,23 @@ def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The inverted index of the documents at sf_dir, built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.build_index(table(spark, sf_dir, "documents"))
+    return _INDEXES[key]
+
+
 def bm25(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return lexical.bm25_topk(table(spark, sf_dir, "documents"), bench_queries(spark, sf_dir), k)
+    return lexical.search(index(spark, sf_dir), lexical.query_terms(bench_queries(spark, sf_dir)), k)
 
 
 def tf(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return lexical.tf_topk(table(spark, sf_dir, "documents"), bench_queries(spark, sf_dir), k)
+    return lexical.search(index(spark, sf_dir), lexical.query_terms(bench_queries(spark, sf_dir)), k, "share")
 
 
 def fused(spark: SparkSession, sf_dir: str, keep: int | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def _measured(spark, d):
     return dg.signal_noise(dg.composition(code_blocks(spark, d), "block_id", "content"))
 
 
-@query("block_composition", with_code(f", {_MEASURED} select block_id, n as n_lines, " + ", ".join(f"round({c}_pct, 4) as {c}_pct" for c in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring")) + ", functions, definitions from meas"))
+@query("code_composition", with_code(f", {_MEASURED} select block_id, n as n_lines, " + ", ".join(f"round({c}_pct, 4) as {c}_pct" for c in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring")) + ", functions, definitions from meas"))
 def block_composition(spark, d):
     x = _measured(spark, d)
     return x.select("block_id", "n_lines", *[F.round(f"{c}_pct", 4).alias(f"{c}_pct") for c in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring")], "functions", "definitions")

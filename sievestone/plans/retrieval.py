@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import dedup, fusion, lexical, metrics, ranking, selection
 from ..operators import vector as vec
-from ._base import TOKENS, bench_queries, bm25, candidates, doc_columns, fused, table, tf, with_corpus
+from ._base import TOKENS, bench_queries, bm25, candidates, doc_columns, fused, index, table, tf, with_corpus
 
 QUERIES, ORACLE = {}, {}
 
@@ -28,7 +28,7 @@ R6 = lambda c: F.round(c, 6).alias(c)
 @query("term_stats_idf", f"""with p as (select doc_id, term, count(*) as tf from (select doc_id, unnest({TOKENS.format('text')}) as term from documents) group by 1, 2)
 select term, count(*) as df, cast(sum(tf) as bigint) as cf, round(1 + ln((select count(*) from documents) / (1 + count(*))), 6) as idf from p group by term""")
 def term_stats_idf(spark, d):
-    return lexical.term_stats(table(spark, d, "documents")).select("term", "df", "cf", R6("idf"))
+    return index(spark, d).terms.select("term", "df", "cf", R6("idf"))
 
 
 @query("bm25_topk", with_corpus("select query_id, doc_id, round(score, 6) as score, rank from bm"))
