@@ -1,7 +1,7 @@
 """Language-model scoring by deleted interpolation.
 
-The model mixes the maximum-likelihood bigram, the unigram and a uniform
-distribution. The weights depend on how often the context was seen (a bucket for
+The model mixes the maximum-likelihood n-grams of each length (bigram and unigram, or up
+to a given order) and a uniform distribution. The weights depend on how often the context was seen (a bucket for
 each power of two) and are learned by expectation-maximisation on deleted counts:
 each training token is scored by the counts without itself.
 
@@ -9,7 +9,7 @@ Counting goes by blocks of documents. A block sends its distinct n-grams with it
 own counts, as sorted arrays cut into ranges of the hash; a range adds the arrays
 of all blocks up and answers each block in the order it asked. So a frequent
 n-gram is one entry of each block, not a key with many rows, and the answers are
-bare counts.
+bare counts. Where ranges are many, this goes by levels (see _blocks.exchange).
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import make_blocks, open_block, pack_hashes, range_of, unpack_hashes
-from ._common import _U64, combine, drop_staged, learned_fold, pack, small_batches, stage, text_buffer, trim, unpack, word_hashes, word_spans
+from ._blocks import FAN, add_up, exchange, give_keys, make_blocks, merge_keys, open_block, pack_counts, pack_hashes, range_of, unpack_counts
+from ._common import _U64, combine, drop_staged, fresh, learned_fold, small_batches, stage, text_buffer, trim, word_hashes, word_spans
 
 BLOCK_BYTES = 6 << 20
 BUCKETS = 32
@@ -35,7 +35,7 @@ _BEGIN = _U64(0xBB67AE8584CAA73B)
 
 @dataclass(frozen=True)
 class Weights:
-    """weights: bucket of the context's frequency x (bigram, unigram, uniform)."""
+    """weights: bucket of the longest context's frequency x (longest n-gram to unigram, uniform)."""
 
     weights: np.ndarray
     tokens: int
@@ -44,114 +44,113 @@ class Weights:
 
 
 class _Tokens:
-    """A block's tokens: uni and bi are hashes in text order, `learn` tells which
-    tokens are learned from, first the index of each text's first token."""
+    """A block's tokens: grams[n] are hashes of the n + 1 tokens that end at each token, in text
+    order, `learn` tells which tokens are learned from, first the index of each text's first
+    token. Before a text there is a begin."""
 
-    def __init__(self, rows: bytes) -> None:
+    def __init__(self, rows: bytes, order: int) -> None:
         self.table = open_block(rows)
         buf, offs = text_buffer(self.table.column(0))
         starts, ends, first = word_spans(buf, offs)
         n = self.table.num_rows
         self.first = first + np.arange(n + 1)
-        self.uni = np.full(int(self.first[-1]), _END, _U64)
+        words = np.full(int(self.first[-1]), _END, _U64)
         doc = np.repeat(np.arange(n), np.diff(first))
-        self.uni[np.arange(len(starts)) + doc] = word_hashes(buf, starts, ends)
-        before = np.empty_like(self.uni)
-        before[1:] = self.uni[:-1]
-        before[self.first[:-1]] = _BEGIN
-        self.bi = combine(before, self.uni)
+        words[np.arange(len(starts)) + doc] = word_hashes(buf, starts, ends)
+        self.grams = [words]
+        for _ in range(1, order):
+            before = np.empty_like(words)
+            before[1:] = self.grams[-1][:-1]
+            before[self.first[:-1]] = _BEGIN
+            self.grams.append(combine(before, words))
         learn = self.table.column(1).to_numpy(zero_copy_only=False).astype(bool)
         self.learn = np.repeat(learn, np.diff(self.first))
 
-    def distinct(self, which: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct hashes, for each token its place there, and the counts in learned texts."""
-        found, at = np.unique(getattr(self, which), return_inverse=True)
+        found, at = np.unique(self.grams[n], return_inverse=True)
         return found, at, np.bincount(at[self.learn], minlength=len(found))
 
 
-def _pack_counts(n: np.ndarray) -> bytes:
-    return pack(n.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()) if len(n) == 0 or n.max() < 2**32 else b"L" + pack(n.astype(np.uint64).tobytes())
+def _ask(parts: int, order: int):
+    """block, rows -> a cell for each range of each length of n-gram: distinct hashes, learned counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = _Tokens(rows, order)
+                for n in range(order):
+                    found, _, count = tokens.distinct(n)
+                    cut = range_of(found, parts)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([block] * parts, pa.int64()), pa.array(range(n * parts, (n + 1) * parts), pa.int32()),
+                        pa.array([pack_hashes(found[cut[p] : cut[p + 1]]) for p in range(parts)], pa.binary()), pa.array([pack_counts(count[cut[p] : cut[p + 1]]) for p in range(parts)], pa.binary()),
+                    ], ["sender", "part", "keys", "n"])
 
-def _unpack_counts(data: bytes) -> np.ndarray:
-    if data[:1] == b"L":
-        return np.frombuffer(unpack(data[1:]), np.uint64).astype(np.int64)
-    raw = np.frombuffer(unpack(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).view(np.uint32).ravel().astype(np.int64)
+    return run
 
 
-_CELL = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("uni", T.BinaryType()), T.StructField("uni_n", T.BinaryType()), T.StructField("bi", T.BinaryType()), T.StructField("bi_n", T.BinaryType())])
+def _answer(ranges: int):
+    """The totals over all senders of one range, for each in its own order; and for words a
+    row of sender null with the learned tokens and types of the range."""
 
-
-def _ask(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = _Tokens(rows)
-                (u, _, un), (b, _, bn) = tokens.distinct("uni"), tokens.distinct("bi")
-                ru, rb = range_of(u, parts), range_of(b, parts)
-                cells = [(block, p, pack_hashes(u[ru[p] : ru[p + 1]]), _pack_counts(un[ru[p] : ru[p + 1]]), pack_hashes(b[rb[p] : rb[p + 1]]), _pack_counts(bn[rb[p] : rb[p + 1]])) for p in range(parts)]
-                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*cells, strict=True), kinds, strict=True)], [f.name for f in _CELL])
+    def run(cells: pa.Table) -> pa.Table:
+        found, total, at = add_up(cells)
+        answers = [pack_counts(total[x]) for x in at]
+        sender, part = cells.column("sender").to_pylist(), cells.column("part").to_pylist()
+        n, own = len(sender), part[0] < ranges
+        return pa.table({
+            "sender": pa.array([*sender, *[None] * own], pa.int64()), "part": pa.array([*part, *part[:1] * own], pa.int32()), "answer": pa.array([*answers, *[None] * own], pa.binary()),
+            "tokens": pa.array([0] * n + [int(total.sum())] * own, pa.int64()), "types": pa.array([0] * n + [int((total > 0).sum())] * own, pa.int64()),
+        })
 
     return run
 
 
-def _answer(cells: pa.Table) -> pa.Table:
-    """The totals over all blocks of one range, for each block in its own order; and a
-    row of block null with the learned tokens and types of the range."""
-    out: dict[str, list] = {"block": cells.column("block").to_pylist(), "part": cells.column("part").to_pylist()}
-    tokens = types = 0
-    for kind in ("uni", "bi"):
-        hashes = [unpack_hashes(x) for x in cells.column(kind).to_pylist()]
-        counts = [_unpack_counts(x) for x in cells.column(f"{kind}_n").to_pylist()]
-        found, at = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.zeros(len(found), np.int64)
-        np.add.at(total, at, np.concatenate(counts))
-        ends = np.cumsum([len(h) for h in hashes])
-        out[f"{kind}_n"] = [_pack_counts(total[a]) for a in np.split(at, ends[:-1])]
-        if kind == "uni":
-            tokens, types = int(total.sum()), int((total > 0).sum())
-    n = len(out["block"])
-    return pa.table({
-        "block": pa.array([*out["block"], None], pa.int64()),
-        "part": pa.array([*out["part"], None], pa.int32()),
-        "uni_n": pa.array([*out["uni_n"], None], pa.binary()),
-        "bi_n": pa.array([*out["bi_n"], None], pa.binary()),
-        "tokens": pa.array([0] * n + [tokens], pa.int64()),
-        "types": pa.array([0] * n + [types], pa.int64()),
-    })
-
-
-def count_ngrams(docs: DataFrame, learn, text_col: str = "text", block_bytes: int = BLOCK_BYTES, parts: int | None = None, dropped: tuple = ()) -> tuple[DataFrame, int, int]:
+_ANSWER = "sender long, part int, answer binary, tokens long, types long"
+
+
+def count_ngrams(docs: DataFrame, learn, text_col: str = "text", block_bytes: int = BLOCK_BYTES, parts: int | None = None, dropped: tuple = (), order: int = 2, fan: int = FAN) -> tuple[DataFrame, int, int]:
     """A table of blocks (rows: the documents, packed; answers: counts of all n-grams
     of the block over all learned texts), and the tokens and types learned."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), F.coalesce(learn, F.lit(False)).alias("_learn"), *[F.col(f"`{c}`") for c in docs.columns if c not in dropped])
+    kept = [c for c in docs.columns if c not in dropped]
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(fresh("text_in", kept)), F.coalesce(learn, F.lit(False)).alias(fresh("learn", kept)), *[F.col(f"`{c}`") for c in kept])
     blocks = stage(rows.mapInArrow(make_blocks(block_bytes), "block long, rows binary"), "lm-blocks")
-    parts = parts or max(1, blocks.count())
-    cells = blocks.mapInArrow(_ask(parts), _CELL)
-    answers = stage(cells.groupBy("part").applyInArrow(_answer, "block long, part int, uni_n binary, bi_n binary, tokens long, types long"), "lm-answers")
-    tokens, types = answers.filter("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-    by_block = answers.filter("block is not null").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "uni_n", "bi_n"))).alias("answers"))
+    senders = blocks.count()
+    parts = parts or max(1, senders)
+    first = min(parts, fan)
+    # With levels below the first, ranges are as many as the levels cut in all.
+    ranges, left = first, parts
+    while left > fan:
+        left = -(-left // fan)
+        ranges *= min(left, fan)
+    cells = blocks.mapInArrow(_ask(first, order), "sender long, part int, keys binary, n binary")
+    used: list = []
+    totals = exchange(cells, senders, parts, fan, merge_keys, give_keys((lambda x, n: unpack_counts(x), pack_counts)), (_answer(ranges), _ANSWER), dropped=used)
+    answers = stage(totals, "lm-answers")
+    tokens, types = answers.filter("sender is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    by_block = answers.filter("sender is not null").groupBy(F.col("sender").alias("block")).agg(F.array_sort(F.collect_list(F.struct("part", "answer"))).alias("answers"))
     counted = stage(blocks.join(by_block, "block"), "lm-counted")
-    drop_staged(blocks)
-    drop_staged(answers)
+    for old in (blocks, answers, *used):
+        drop_staged(old)
     return counted, int(tokens), int(types)
 
 
-def _counts(rows: bytes, answers: list[dict], texts: int) -> tuple[_Tokens, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a block with the learned counts of each token, its bigram and its context."""
-    tokens = _Tokens(rows)
-    _, at_u, _ = tokens.distinct("uni")
-    _, at_b, _ = tokens.distinct("bi")
-    uni = np.concatenate([_unpack_counts(a["uni_n"]) for a in answers])[at_u]
-    bi = np.concatenate([_unpack_counts(a["bi_n"]) for a in answers])[at_b]
-    context = np.empty_like(uni)
-    context[1:] = uni[:-1]
-    context[tokens.first[:-1]] = texts
-    return tokens, uni, bi, context
+def _counts(rows: bytes, answers: list[dict], texts: int, order: int = 2) -> tuple[_Tokens, list[np.ndarray], list[np.ndarray]]:
+    """Tokens of a block; for each length of n-gram the learned counts of the one that ends
+    at each token, and those of its context."""
+    tokens = _Tokens(rows, order)
+    each = len(answers) // order
+    count = [np.concatenate([unpack_counts(a["answer"]) for a in answers[n * each : (n + 1) * each]])[tokens.distinct(n)[1]] for n in range(order)]
+    context = []
+    for n in range(1, order):
+        before = np.empty_like(count[n])
+        before[1:] = count[n - 1][:-1]
+        before[tokens.first[:-1]] = texts
+        context.append(before)
+    return tokens, count, context
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -164,44 +163,50 @@ def _bin(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.clip(((_BINS - 1) + np.log2(np.maximum(p, 1e-300)) * ((_BINS - 2) / 30)).astype(np.int64), 1, _BINS - 1), 0)
 
 
-def _deleted(n_tokens: int, texts: int):
+def _deleted(n_tokens: int, texts: int, order: int):
+    """Cells (bucket of the context, bins of the deleted estimates of each length) with their
+    number and the estimates' sums."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = BUCKETS * _BINS * _BINS
-        total = np.zeros((3, size))
+        size = BUCKETS * _BINS**order
+        total = np.zeros((order + 1, size))
         for batch in batches:
             trim()
             for rows, answers in zip(batch.column("rows").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                tokens, uni, bi, context = _counts(rows, answers, texts)
-                uni, bi, context = uni[tokens.learn], bi[tokens.learn], context[tokens.learn]
-                pb = (bi - 1) / np.maximum(context - 1, 1)
-                pu = (uni - 1) / max(n_tokens - 1, 1)
-                cell = (_bucket(context) * _BINS + _bin(pb)) * _BINS + _bin(pu)
-                for k, weight in enumerate((None, pb, pu)):
+                tokens, count, context = _counts(rows, answers, texts, order)
+                learn = tokens.learn
+                p = [(count[0][learn] - 1) / max(n_tokens - 1, 1)] + [np.where(context[k][learn] > 1, (count[k + 1][learn] - 1) / np.maximum(context[k][learn] - 1, 1), 0.0) for k in range(order - 1)]
+                cell = _bucket(context[-1][learn])
+                for x in reversed(p):
+                    cell = cell * _BINS + _bin(x)
+                for k, weight in enumerate((None, *p)):
                     total[k] += np.bincount(cell, weight, size)
         at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(total[k][at]) for k in range(3)]], ["cell", "n", "bi", "uni"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[0][at]), *[pa.array(total[k + 1][at]) for k in range(order)]], ["cell", "n", *[f"p{k}" for k in range(order)]])
 
     return run
 
 
-def learn_weights(counted: DataFrame, tokens: int, types: int, texts: int, steps: int = 100) -> Weights:
+def learn_weights(counted: DataFrame, tokens: int, types: int, texts: int, steps: int = 100, order: int = 2) -> Weights:
     """EM for the weights of each context bucket. The deleted estimates are gathered
-    in a fixed grid of cells (bucket x 48 x 48), each with its count and means, so
-    what the driver sees does not grow with the corpus."""
-    got = counted.mapInArrow(_deleted(tokens, texts), "cell long, n double, bi double, uni double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("bi").alias("bi"), F.sum("uni").alias("uni")).toArrow()
+    in a fixed grid of cells (a bucket, and 48 bins for each length of n-gram), each with
+    its count and means, so what the driver sees does not grow with the corpus."""
+    names = [f"p{k}" for k in range(order)]
+    kind = "cell long, n double, " + ", ".join(f"{x} double" for x in names)
+    got = counted.mapInArrow(_deleted(tokens, texts, order), kind).groupBy("cell").agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names]).toArrow()
     cell, n = got["cell"].to_numpy(), got["n"].to_numpy()
-    p = np.stack([got["bi"].to_numpy() / n, got["uni"].to_numpy() / n, np.full(len(n), 1 / (types + 1))], 1) if len(n) else np.zeros((0, 3))
-    weights = np.tile([0.0, 0.9, 0.1], (BUCKETS, 1))
-    bucket = cell // (_BINS * _BINS)
+    p = np.stack([*[got[x].to_numpy() / n for x in reversed(names)], np.full(len(n), 1 / (types + 1))], 1) if len(n) else np.zeros((0, order + 1))
+    weights = np.tile([0.0] * (order - 1) + [0.9, 0.1], (BUCKETS, 1))
+    bucket = cell // _BINS**order
     for k in np.unique(bucket):
         mine, count = p[bucket == k], n[bucket == k]
-        w = np.array([0.4, 0.4, 0.2])
+        w = np.full(order + 1, 1 / (order + 1))
         for _ in range(steps):
             r = mine * w
             r /= r.sum(1, keepdims=True)
             w = (r * count[:, None]).sum(0) / count.sum()
         # A uniform share of nothing would give unseen words no probability at all.
-        w[2] = max(w[2], 1e-6)
+        w[-1] = max(w[-1], 1e-6)
         weights[k] = w / w.sum()
     for k in range(1, BUCKETS):
         if k not in bucket and len(bucket):
@@ -209,21 +214,32 @@ def learn_weights(counted: DataFrame, tokens: int, types: int, texts: int, steps
     return Weights(weights, tokens, types, texts)
 
 
-def _score(model: Weights, schema: T.StructType):
+def probabilities(model: Weights, count: list[np.ndarray], context: list[np.ndarray]) -> np.ndarray:
+    """The model's probability of each token. The estimate of a length whose context was never
+    learned is left out, and the others' weights make up for it."""
+    order = len(count)
+    w = model.weights[_bucket(context[-1])]
+    p, sure = w[:, order - 1] * count[0] / max(model.tokens, 1) + w[:, order] / (model.types + 1), w[:, order - 1] + w[:, order]
+    for k in range(order - 1):
+        known = context[k] > 0
+        p = p + np.where(known, w[:, order - 2 - k] * count[k + 1] / np.maximum(context[k], 1), 0.0)
+        sure = sure + np.where(known, w[:, order - 2 - k], 0.0)
+    return p / np.maximum(sure, 1e-12)
+
+
+def _score(model: Weights, schema: T.StructType, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trim()
             for rows, answers in zip(batch.column("rows").to_pylist(), batch.column("answers").to_pylist(), strict=True):
-                tokens, uni, bi, context = _counts(rows, answers, model.texts)
-                w = model.weights[_bucket(context)]
-                p = w[:, 0] * bi / np.maximum(context, 1) + w[:, 1] * uni / max(model.tokens, 1) + w[:, 2] / (model.types + 1)
+                tokens, count, context = _counts(rows, answers, model.texts, order)
                 add = lambda x: np.add.reduceat(x, tokens.first[:-1])  # noqa: E731, B023  a text has its end at least
                 out = {
                     "n_tokens": np.diff(tokens.first),
-                    "n_known": add((uni > 0).astype(np.int64)),
+                    "n_known": add((count[0] > 0).astype(np.int64)),
                     "train_tokens": np.full(tokens.table.num_rows, model.tokens),
-                    "base_score": add(np.log10((uni + 1) / (model.tokens + model.types + 1))),
-                    "score": add(np.log10(p)),
+                    "base_score": add(np.log10((count[0] + 1) / (model.tokens + model.types + 1))),
+                    "score": add(np.log10(probabilities(model, count, context))),
                 }
                 kept = tokens.table.select([c for c in tokens.table.schema.names[2:] if c not in out]).combine_chunks()
                 names = [*kept.schema.names, *out]
@@ -233,11 +249,11 @@ def _score(model: Weights, schema: T.StructType):
     return run
 
 
-def score_texts(docs: DataFrame, learn, text_col: str = "text", keep_text: bool = True, block_bytes: int = BLOCK_BYTES, parts: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, learn, text_col: str = "text", keep_text: bool = True, block_bytes: int = BLOCK_BYTES, parts: int | None = None, order: int = 2, fan: int = FAN) -> DataFrame:
     """All rows and columns of docs with n_tokens, n_known, train_tokens, base_score
     and score (base-10 logarithms of the text's probability under add-one unigrams and
     under the model). learn: a condition on docs that tells which rows to learn from.
-    keep_text: False leaves the text out of the result.
+    keep_text: False leaves the text out of the result. order: the longest n-grams, in tokens.
 
     A null text is empty; an empty text is its end only. Words are hashed to 64 bits.
     Without learned rows all tokens are unknown and share one uniform probability.
@@ -245,11 +261,11 @@ def score_texts(docs: DataFrame, learn, text_col: str = "text", keep_text: bool
     """
     texts = docs.filter(learn).count()
     dropped = () if keep_text else (text_col,)
-    counted, tokens, types = count_ngrams(docs, learn, text_col, block_bytes, parts, dropped)
-    model = learn_weights(counted, tokens, types, texts)
+    counted, tokens, types = count_ngrams(docs, learn, text_col, block_bytes, parts, dropped, order, fan)
+    model = learn_weights(counted, tokens, types, texts, order=order)
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     schema = T.StructType([f for f in docs.schema.fields if f.name not in names + dropped] + [T.StructField(n, T.DoubleType() if "score" in n else T.LongType()) for n in names])
-    return counted.select("rows", "answers").mapInArrow(_score(model, schema), schema)
+    return counted.select("rows", "answers").mapInArrow(_score(model, schema, order), schema)
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2, **options) -> DataFrame:

@@ -75,7 +75,8 @@ def test_language_model_counts(docs, corpus):
     assert {r.text for r in out.values()} == {t for _, t in corpus}
 
 
-def test_language_model_is_a_distribution(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_is_a_distribution(spark, order):
     """Over all known words and one unknown, the probabilities after a word sum to one."""
     rng = random.Random(1)
     words = [f"v{i}" for i in range(12)]
@@ -83,19 +84,82 @@ def test_language_model_is_a_distribution(spark):
     probe = [(1000 + k, f"v3 {w}") for k, w in enumerate([*words, "unseen"])] + [(2000, "v3")]
     learn = F.col("doc_id") < 1000
     df = spark.createDataFrame(rows + probe, "doc_id long, text string")
-    counted, tokens, types = lm.count_ngrams(df, learn)
-    model = lm.learn_weights(counted, tokens, types, df.filter(learn).count())
+    counted, tokens, types = lm.count_ngrams(df, learn, order=order)
+    model = lm.learn_weights(counted, tokens, types, df.filter(learn).count(), order=order)
     assert np.allclose(model.weights.sum(1), 1) and (model.weights >= 0).all()
     found = {}
     for row in counted.collect():
-        t, uni, bi, context = lm._counts(row.rows, [a.asDict() for a in row.answers], model.texts)
-        w = model.weights[lm._bucket(context)]
-        p = w[:, 0] * bi / np.maximum(context, 1) + w[:, 1] * uni / model.tokens + w[:, 2] / (model.types + 1)
+        t, count, context = lm._counts(row.rows, [a.asDict() for a in row.answers], model.texts, order)
+        p = lm.probabilities(model, count, context)
         for d, i in enumerate(t.table.column("doc_id").to_pylist()):
             found[i] = p[t.first[d] + 1]
     assert math.isclose(sum(found[i] for i, _ in probe), 1.0, rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_against_plain(docs, corpus, order):
+    """Counts, deleted estimates and EM by hand; bins of estimates make a small difference."""
+    out = {r.doc_id: r for r in lm.language_model(docs, block_bytes=20_000, order=order).collect()}
+    texts = {i: [*brute.words(brute.lower(t)), None] for i, t in corpus}
+    learned = [i for i, _ in corpus if brute.fold(i, 7) != 2]
+    seen = [Counter() for _ in range(order)]
+
+    def gram(w, k, n):
+        return tuple(w[max(0, k - n) : k + 1]) if k - n >= 0 else ("<", *w[: k + 1])
+
+    for i in learned:
+        for k in range(len(texts[i])):
+            for n in range(order):
+                seen[n][gram(texts[i], k, n)] += 1
+    total, types = sum(seen[0].values()), len(seen[0])
+
+    def parts(w, k, less):
+        """Estimates from the longest to the uniform, the longest context's count, and which are known."""
+        p, known, context = [], [], 0
+        for n in range(order - 1, 0, -1):
+            c = len(learned) if k == 0 else seen[n - 1][gram(w, k - 1, n - 1)]
+            context = context if n < order - 1 else c
+            p.append((seen[n][gram(w, k, n)] - less) / (c - less) if c > less else 0.0)
+            known.append(c > 0)
+        return [*p, (seen[0][gram(w, k, 0)] - less) / (total - less), 1 / (types + 1)], context, [*known, True, True]
+
+    bucket = lambda c: min(int(math.log2(max(c, 1))), lm.BUCKETS - 1)
+    held = {}
+    for i in learned:
+        for k in range(len(texts[i])):
+            p, c, _ = parts(texts[i], k, 1)
+            held.setdefault(bucket(c), []).append(p)
+    weights = {}
+    for b, rows in held.items():
+        w, rows = np.full(order + 1, 1 / (order + 1)), np.array(rows)
+        for _ in range(100):
+            r = rows * w
+            w = (r / r.sum(1, keepdims=True)).mean(0)
+        w[-1] = max(w[-1], 1e-6)
+        weights[b] = w / w.sum()
+    for i, _ in corpus:
+        want = 0.0
+        for k in range(len(texts[i])):
+            p, c, known = parts(texts[i], k, 0)
+            b = bucket(c)
+            while b not in weights:
+                b -= 1
+            w = weights[b] * np.array(known)
+            want += math.log10(float(w @ np.array(p)) / w.sum())
+        assert abs(out[i].score - want) <= 0.01 * abs(want) + 0.05 * math.sqrt(len(texts[i])), i
+
+
+@pytest.mark.parametrize(("fan", "parts"), [(2, 2), (2, 9), (3, 30)])
+def test_levels_give_the_same_counts(docs, fan, parts):
+    """Cells over one level and over several."""
+    one = {r.doc_id: r for r in lm.language_model(docs, block_bytes=4000, order=3).collect()}
+    many = {r.doc_id: r for r in lm.language_model(docs, block_bytes=4000, order=3, parts=parts, fan=fan).collect()}
+    for i, r in one.items():
+        m = many[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (m.n_tokens, m.n_known, m.train_tokens, m.base_score)
+        assert math.isclose(r.score, m.score, rel_tol=1e-9)
+
+
 def test_language_model_odd_tables(docs, no_docs):
     assert lm.language_model(no_docs).count() == 0
     none = lm.score_texts(docs, F.lit(False)).collect()
