@@ -6,10 +6,13 @@ document of smaller id, or earlier in the same one) is removed.
 Each such string is represented by an anchor: the least hash of its 32-byte grams,
 which equal strings have at the same place. Documents are packed in blocks, and blocks
 ask which anchors others have too. For those they send snippets, the bytes of all
-strings that an anchor stands for, each different one once with its first place. The
-snippets of a range of anchors are joined to a text whose suffixes are sorted by
-external induction; neighbours in that order with a common prefix of `length` bytes are
-the repeats. Equal snippets are one entry, however many documents hold them.
+strings that an anchor stands for, each different one once with its first place. Where
+an anchor stands in very many blocks, its strings are told apart by a second anchor,
+the least of other hashes, so that a phrase common to many texts does not bring all
+that stands around it to one place. The snippets of a range of anchors are joined to a
+text whose suffixes are sorted by external induction; neighbours in that order with a
+common prefix of `length` bytes are the repeats. Equal snippets are one entry, however
+many documents hold them.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import make_blocks, open_block, pack_hashes, range_of, unpack_hashes
-from ._common import _U64, mix64, pack, slices, small_batches, stage, text_buffer, trim, unpack, word_hashes
+from ._blocks import FAN, add_up, exchange, give_keys, make_blocks, merge_keys, open_block, pack_counts, pack_hashes, range_of
+from ._common import _U64, combine, fresh, mix64, pack, slices, small_batches, stage, text_buffer, trim, unpack, word_hashes
 from ._induced_sort import suffix_order
 
 LENGTH = 100
@@ -35,6 +38,8 @@ _CHUNK = 1 << 22
 _PLACE = _U64((1 << 24) - 1)
 #: Bytes of queues held in memory, beyond which they are on disk; the text and its order are always in memory.
 QUEUE_BYTES = 128 << 20
+#: Blocks that may share an anchor before its strings are told apart by a second one.
+HOT_BLOCKS = 128
 
 
 def _gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -55,13 +60,13 @@ class Anchors:
     """Of a row of texts: key (the anchor's hash), start and last (the first and last
     string that it stands for, by their starts in the buffer), doc."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int) -> None:
-        parts = [self._of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, int(offsets[i]), i) for i, j in slices(offsets, _SLICE_BYTES)]
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, length: int, salt: int = 0) -> None:
+        parts = [self._of(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, int(offsets[i]), i, salt) for i, j in slices(offsets, _SLICE_BYTES)]
         parts = [p for p in parts if len(p[0])]
         self.key, self.start, self.last, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, _U64), *[np.zeros(0, np.int64)] * 3)
 
     @staticmethod
-    def _of(buf, offsets, length, base, first_doc):
+    def _of(buf, offsets, length, base, first_doc, salt):
         none = (np.zeros(0, _U64), *[np.zeros(0, np.int64)] * 3)
         if len(buf) < length:
             return none
@@ -70,6 +75,8 @@ class Anchors:
         for c in range(0, len(buf) - length + 1, _CHUNK):
             piece = buf[c : c + _CHUNK + length - 1]
             h = _gram_hashes(piece)
+            if salt:
+                h = mix64(h ^ _U64(salt))
             low = (h & ~_PLACE) | np.arange(len(h), dtype=_U64)
             width, want = 1, length - GRAM + 1
             while 2 * width <= want:
@@ -99,16 +106,29 @@ def _ask(parts: int, length: int):
                 buf, offs = text_buffer(open_block(rows).column(0))
                 keys = np.unique(Anchors(buf, offs, length).key)
                 at = range_of(keys, parts)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([pack_hashes(keys[at[p] : at[p + 1]]) for p in range(parts)], pa.binary())], ["block", "part", "keys"])
+                one = [pack_counts(np.ones(at[p + 1] - at[p], np.int64)) for p in range(parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([pack_hashes(keys[at[p] : at[p + 1]]) for p in range(parts)], pa.binary()), pa.array(one, pa.binary())], ["sender", "part", "keys", "n"])
 
     return run
 
 
-def _answer(cells: pa.Table) -> pa.Table:
-    keys = [unpack_hashes(x) for x in cells.column("keys").to_pylist()]
-    _, at, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = np.split(count[at] > 1, np.cumsum([len(k) for k in keys])[:-1])
-    return pa.table({"block": cells.column("block"), "part": cells.column("part"), "shared": pa.array([np.packbits(x).tobytes() for x in shared], pa.binary())})
+def _pack_marks(x: np.ndarray) -> bytes:
+    return pack(x.astype(np.uint8).tobytes())
+
+
+def _unpack_marks(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(unpack(data), np.uint8)
+
+
+def _answer(hot: int):
+    """For each anchor of a cell 0, 1 if several blocks have it, or 2 if more than `hot` do."""
+
+    def run(cells: pa.Table) -> pa.Table:
+        _, total, at = add_up(cells)
+        marks = (total > 1).astype(np.uint8) + (total > hot)
+        return pa.table({"sender": cells.column("sender"), "part": cells.column("part"), "answer": pa.array([_pack_marks(marks[x]) for x in at], pa.binary())})
+
+    return run
 
 
 class _Shared:
@@ -116,7 +136,7 @@ class _Shared:
     and for each its start, strings (count), first (index of the first of equal snippets),
     and head (which are the first of their snippet)."""
 
-    def __init__(self, rows: bytes, answers: list[dict], parts: int, length: int) -> None:
+    def __init__(self, rows: bytes, answers: list[dict], length: int) -> None:
         table = open_block(rows)
         self.table = table
         self.buf, self.offs = text_buffer(table.column(0))
@@ -124,11 +144,13 @@ class _Shared:
         self.null_id = ids.is_null().to_numpy(zero_copy_only=False) if ids.null_count else np.zeros(table.num_rows, bool)
         self.ids = ids.cast(pa.int64()).fill_null(-(2**63)).to_numpy()
         a = Anchors(self.buf, self.offs, length)
-        keys, at, count = np.unique(a.key, return_inverse=True, return_counts=True)
-        cut = range_of(keys, parts)
-        others = np.concatenate([np.unpackbits(np.frombuffer(x["shared"], np.uint8), count=int(cut[k + 1] - cut[k])) for k, x in enumerate(answers)]).astype(bool) if len(keys) else np.zeros(0, bool)
-        use = (others | (count > 1))[at]
+        _, at, count = np.unique(a.key, return_inverse=True, return_counts=True)
+        marks = np.concatenate([_unpack_marks(x["answer"], 0) for x in answers]) if len(count) else np.zeros(0, np.uint8)
+        use = ((marks > 0) | (count > 1))[at]
         key, start, last, doc = a.key[use], a.start[use], a.last[use], a.doc[use]
+        hot = (marks > 1)[at][use]
+        if hot.any():
+            key, start, last, doc = (np.concatenate(x) for x in zip((key[~hot], start[~hot], last[~hot], doc[~hot]), self._apart(key[hot], start[hot], last[hot], doc[hot], length), strict=True))
         snippet = word_hashes(self.buf, start, last + length, lower=False)
         place = start - self.offs[doc]
         order = np.lexsort((place, self.ids[doc], snippet, key))
@@ -139,13 +161,25 @@ class _Shared:
         self.head[1:] = (self.key[1:] != self.key[:-1]) | (snippet[1:] != snippet[:-1])
         self.of = np.cumsum(self.head) - 1
 
+    def _apart(self, key, start, last, doc, length):
+        """The strings of these anchors by a second anchor: each run of them by one or more."""
+        size = last - start + length
+        begin = np.concatenate([[0], np.cumsum(size)])
+        place = np.arange(begin[-1]) - np.repeat(begin[:-1] - start, size)
+        b = Anchors(self.buf[place], begin, length, salt=0x5BD1E9955BD1E995)
+        move = start[b.doc] - begin[:-1][b.doc]
+        return mix64(combine(key[b.doc], b.key)), b.start + move, b.last + move, doc[b.doc]
+
+
+_SNIPPETS = "sender long, part int, bytes binary, about binary"
+
 
 def _send(parts: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trim()
             for block, rows, answers in zip(*[batch.column(c).to_pylist() for c in ("block", "rows", "answers")], strict=True):
-                s = _Shared(rows, answers, parts, length)
+                s = _Shared(rows, answers, length)
                 head = np.flatnonzero(s.head)
                 cut = range_of(s.key[head], parts)
                 out = []
@@ -157,11 +191,55 @@ def _send(parts: int, length: int):
                         out.append((block, p, pack(s.buf[place + np.repeat(s.start[h], size)].tobytes()), pack(np.stack([s.key[h].view(np.int64), s.strings[h], s.ids[s.doc[h]], s.place[h]]).tobytes())))
                 if out:
                     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["block", "part", "bytes", "about"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["sender", "part", "bytes", "about"])
 
     return run
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, n of each, in a row."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)
+
+
+def _relay(length: int):
+    """merge and give of an exchange of snippets: the entries of a range's cells, sorted by key
+    and cut into sub ranges; and their flags, in the order of the cells again."""
+
+    def opened(cells: pa.Table, sub: int, ranges: int):
+        part = cells.column("part")[0].as_py()
+        rows = sorted(range(cells.num_rows), key=lambda k: cells.column("sender")[k].as_py())
+        about = [np.frombuffer(unpack(cells.column("about")[k].as_py()), np.int64).reshape(4, -1) for k in rows]
+        whole = np.concatenate(about, axis=1)
+        order = np.argsort(whole[0].view(_U64), kind="stable")
+        return part, rows, about, whole[:, order], order, range_of(whole[0].view(_U64)[order], sub, part % ranges, ranges)
+
+    def merge(cells: pa.Table, sub: int, ranges: int) -> pa.Table:
+        part, rows, about, whole, order, cut = opened(cells, sub, ranges)
+        text = np.concatenate([np.frombuffer(unpack(cells.column("bytes")[k].as_py()), np.uint8) for k in rows])
+        size = np.concatenate([a[1] for a in about]) + length - 1
+        start, size = (np.cumsum(size) - size)[order], size[order]
+        out = []
+        for j in range(sub):
+            i, k = cut[j], cut[j + 1]
+            if k > i:
+                out.append((cells.column("node")[0].as_py(), part * sub + j, pack(text[_spread(start[i:k], size[i:k])].tobytes()), pack(np.ascontiguousarray(whole[:, i:k]).tobytes())))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([x[k] for x in out], kinds[k]) for k in range(4)], ["sender", "part", "bytes", "about"])
+
+    def give(cells: pa.Table, answers: pa.Table, sub: int, ranges: int) -> pa.Table:
+        part, rows, about, whole, order, cut = opened(cells, sub, ranges)
+        by = dict(zip(answers.column("part").to_pylist(), answers.column("answer").to_pylist(), strict=True))
+        told = [np.unpackbits(np.frombuffer(by[part * sub + j], np.uint8), count=int(whole[1, cut[j] : cut[j + 1]].sum())) for j in range(sub) if cut[j + 1] > cut[j]]
+        strings = np.concatenate([a[1] for a in about])
+        flags = np.zeros(int(strings.sum()), np.uint8)
+        flags[_spread((np.cumsum(strings) - strings)[order], whole[1])] = np.concatenate(told)
+        each = np.split(flags, np.cumsum([int(a[1].sum()) for a in about])[:-1])
+        take = pa.array(rows)
+        return pa.table({"sender": cells.column("sender").take(take), "part": cells.column("part").take(take), "answer": pa.array([np.packbits(x).tobytes() for x in each], pa.binary())})
+
+    return merge, give
+
+
 def repeated(snippets: np.ndarray, size: np.ndarray, doc: np.ndarray, place: np.ndarray, length: int, limit: int = QUEUE_BYTES) -> np.ndarray:
     """For each string (length bytes) of the snippets in a row: whether it also starts at
     an earlier (doc, place). size: bytes of each snippet, doc and place of its start."""
@@ -241,7 +319,7 @@ def _sort_range(length: int):
         for i in tied:
             flags[flag_at[i] : flag_at[i] + strings[i]] = flags[flag_at[leader[i]] : flag_at[leader[i]] + strings[i]]
         cut = np.cumsum([a[1].sum() for a in about])[:-1]
-        return pa.table({"block": cells.column("block"), "part": cells.column("part"), "flags": pa.array([np.packbits(x).tobytes() for x in np.split(flags, cut)], pa.binary())})
+        return pa.table({"sender": cells.column("sender"), "part": cells.column("part"), "answer": pa.array([np.packbits(x).tobytes() for x in np.split(flags, cut)], pa.binary())})
 
     return run
 
@@ -251,7 +329,7 @@ def _remove(parts: int, length: int, keep_text: bool, schema: T.StructType):
         for batch in batches:
             trim()
             for rows, answers, replies in zip(*[batch.column(c).to_pylist() for c in ("rows", "answers", "replies")], strict=True):
-                yield from _rewrite(_Shared(rows, answers, parts, length), {x["part"]: x["flags"] for x in replies or []})
+                yield from _rewrite(_Shared(rows, answers, length), {x["part"]: x["answer"] for x in replies or []})
 
     def _rewrite(s: _Shared, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(s.head)
@@ -304,7 +382,7 @@ def _remove(parts: int, length: int, keep_text: bool, schema: T.StructType):
     return run
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True, block_bytes: int = BLOCK_BYTES, hot: int = HOT_BLOCKS, parts: int | None = None, fan: int = FAN) -> DataFrame:
     """All rows and columns of docs with n_bytes, n_removed, n_spans (maximal removed
     runs) and kept_sha256; the text has the removed bytes cut out (keep_text=False leaves
     it out). Where a cut leaves part of a character, that part is left out too; the
@@ -313,7 +391,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Strings of `length` bytes are judged on the input. Ids must be integers; a null id
     is smaller than any. Rows of one id are one document: what stands at the same
     place of several is not a repeat of each other. A null text is empty. Texts shorter
-    than `length` lose nothing. Columns with the names of results are replaced.
+    than `length` lose nothing; a very long text is one block. Columns with the names of
+    results are replaced.
+
+    hot: anchors in more blocks than this are told apart by a second one. parts: ranges
+    of anchors (one for each four thirds of a block by default), fan: cells of a sender.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be {GRAM + 8} or more")
@@ -321,21 +403,24 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     names = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
     others = [c for c in docs.columns if c not in (id_col, text_col, *names)]
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in others])
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(fresh("text_in", [id_col, *others])), F.col(f"`{id_col}`"), *[F.col(f"`{c}`") for c in others])
     blocks = stage(rows.mapInArrow(make_blocks(block_bytes), "block long, rows binary"), "sd-blocks")
-    parts = max(1, blocks.count() * 3 // 4)
-    asked = blocks.mapInArrow(_ask(parts, length), "block long, part int, keys binary")
-    answers = asked.groupBy("part").applyInArrow(_answer, "block long, part int, shared binary")
-    by_block = stage(answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("part", "shared"))).alias("answers")), "sd-answers")
-    sent = blocks.join(by_block, "block").mapInArrow(_send(parts, length), "block long, part int, bytes binary, about binary")
-    flags = sent.groupBy("part").applyInArrow(_sort_range(length), "block long, part int, flags binary")
-    replies = stage(flags.groupBy("block").agg(F.collect_list(F.struct("part", "flags")).alias("replies")), "sd-replies")
+    senders = blocks.count()
+    parts = parts or max(1, senders * 3 // 4)
+    first = min(parts, fan)
+    answer = "sender long, part int, answer binary"
+    asked = blocks.mapInArrow(_ask(first, length), "sender long, part int, keys binary, n binary")
+    answers = exchange(asked, senders, parts, fan, merge_keys, give_keys((_unpack_marks, _pack_marks)), (_answer(hot), answer))
+    by_block = stage(answers.groupBy(F.col("sender").alias("block")).agg(F.array_sort(F.collect_list(F.struct("part", "answer"))).alias("answers")), "sd-answers")
+    sent = blocks.join(by_block, "block").mapInArrow(_send(first, length), _SNIPPETS)
+    flags = exchange(sent, senders, parts, fan, *_relay(length), (_sort_range(length), answer))
+    replies = stage(flags.groupBy(F.col("sender").alias("block")).agg(F.collect_list(F.struct("part", "answer")).alias("replies")), "sd-replies")
     both = blocks.join(by_block.join(replies, "block", "left"), "block").select("rows", "answers", "replies")
     kinds = {f.name: f for f in rows.schema.fields}
     out = T.StructType([kinds[id_col], *[kinds[c] for c in others], T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if keep_text:
         out = out.add(T.StructField("_text_out", T.StringType()))
-    done = both.mapInArrow(_remove(parts, length, keep_text, out), out)
+    done = both.mapInArrow(_remove(first, length, keep_text, out), out)
     if not keep_text:
         return done
     order = [c for c in docs.columns if c not in names]

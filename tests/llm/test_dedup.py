@@ -115,6 +115,14 @@ def test_suffix_dedup_against_plain(docs, corpus):
     assert sum(r.n_removed > 0 for r in out.values()) > 10
 
 
+@pytest.mark.parametrize(("hot", "parts", "fan"), [(0, None, 256), (1, 2, 2), (128, 9, 2), (2, 30, 3)])
+def test_levels_and_second_anchors_change_nothing(docs, corpus, hot, parts, fan):
+    out = {r.doc_id: r for r in sd.suffix_dedup(docs, block_bytes=6_000, keep_text=False, hot=hot, parts=parts, fan=fan).collect()}
+    for i, want in brute.removed(corpus).items():
+        r = out[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want, i
+
+
 def test_suffix_dedup_multibyte_and_odd_tables(spark, no_docs):
     assert sd.suffix_dedup(no_docs).count() == 0
     text = "é" * 100
