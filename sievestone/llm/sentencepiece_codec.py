@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import _U64, mix64, slices, small_batches, text_buffer
+from ._common import _U64, fresh, mix64, slices, small_batches, text_buffer
 
 SPACE = "▁"
 #: Stands for a space mark that the text itself holds; no text can hold it.
@@ -221,16 +221,49 @@ def _bytes_of(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(first, lead | (at >> (6 * k)), 0x80 | ((at >> (6 * k)) & 0x3F)), n
 
 
-def encode_texts(v: Vocabulary, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and where each text's begin."""
+def shared_boundary(v: Vocabulary, buf: np.ndarray, least: int) -> int:
+    """The first byte from `least` on at which all paths have a boundary: no piece holds the
+    characters on both sides of it in a row. len(buf) if there is none."""
+    for lo in range(least, len(buf), 4096):
+        part = buf[lo : lo + 4096 + 8]
+        first = np.flatnonzero((part & 0xC0) != 0x80)
+        if len(first) < 2:
+            continue
+        cps = np.frombuffer(part[first[0] :].tobytes().decode("utf-8", "ignore").encode("utf-32-le"), np.uint32).astype(np.int64)
+        code = np.where(cps == 0x2581, 0x1FFFFF, np.where(cps == 32, 0x2581, cps))
+        pair = (code[:-1] << 21) | code[1:]
+        at = np.minimum(np.searchsorted(v.inside, pair), max(len(v.inside) - 1, 0))
+        apart = np.flatnonzero(v.inside[at] != pair) if len(v.inside) else np.arange(len(pair))
+        if len(apart):
+            return lo + int(first[apart[0] + 1])
+    return len(buf)
+
+
+def encode_long(v: Vocabulary, buf: np.ndarray, piece: int) -> np.ndarray:
+    """Ids of one long text, searched in pieces of about `piece` bytes: what is held beside the
+    ids is one piece, and the window of a part without a shared boundary."""
+    out, at = [], 0
+    while at < len(buf):
+        end = shared_boundary(v, buf, at + piece) if at + piece < len(buf) else len(buf)
+        out.append(encode_texts(v, buf[at:end], np.array([0, end - at]), at == 0)[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def encode_texts(v: Vocabulary, buf: np.ndarray, offsets: np.ndarray, begins: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where each text's begin. begins: whether they are whole
+    texts, before which a space is put, or go on from a shared boundary."""
     texts = buf.tobytes().decode("utf-8", "replace")
     cps = np.frombuffer(texts.encode("utf-32-le"), np.uint32).astype(np.int64)
     lead = (buf & 0xC0) != 0x80
     first = np.concatenate([[0], np.cumsum(lead)])[offsets]
     some = np.flatnonzero(np.diff(first))
     # A space before each text, and spaces as the space mark; a mark in a text is not a piece's mark.
-    own = np.insert(np.where(cps == 0x2581, -0x2581, np.where(cps == 32, 0x2581, cps)), first[some], 0x2581)
-    starts = first[some] + np.arange(len(some))
+    own = np.where(cps == 0x2581, -0x2581, np.where(cps == 32, 0x2581, cps))
+    starts = first[some]
+    if begins:
+        own = np.insert(own, first[some], 0x2581)
+        starts = starts + np.arange(len(some))
     begin = np.concatenate([starts, [len(own)]])
     if not len(own):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
@@ -313,7 +346,7 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ke
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     names = ("ids", "n_tokens", "decoded_same") + (() if keep_text else (text_col,))
     kept = [c for c in docs.columns if c not in names]
-    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text_in"), *[F.col(f"`{c}`") for c in kept])
+    rows = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(fresh("text_in", kept)), *[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded_same", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +354,12 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", ke
         for batch in batches:
             buf, offs = text_buffer(batch.column(0))
             for i, j in slices(offs, _SLICE_BYTES):
-                ids, first = encode_texts(v, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                part = buf[offs[i] : offs[j]]
+                if len(part) > _SLICE_BYTES:  # one long text
+                    ids = encode_long(v, part, _SLICE_BYTES)
+                    first = np.array([0, len(ids)])
+                else:
+                    ids, first = encode_texts(v, part, offs[i : j + 1] - offs[i])
                 listed = ids.tolist()
                 same = []
                 for d in range(j - i):

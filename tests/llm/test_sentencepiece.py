@@ -129,3 +129,24 @@ def test_many_texts_in_a_row(vocabulary):
     ids, first = codec.encode_texts(vocabulary, np.frombuffer(b"".join(data), np.uint8), offsets)
     for k, t in enumerate(TEXTS):
         assert ids[first[k] : first[k + 1]].tolist() == codec.encode(vocabulary, t)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 50, 1000])
+def test_long_texts_go_by_pieces(vocabulary, piece):
+    """Pieces end at boundaries that all paths share, so the ids are those of the whole."""
+    for text in [*TEXTS, "Straße und señor ▁ x" * 40, "汉字" * 50]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = codec.encode_long(vocabulary, data, piece).tolist()
+        assert got == codec.encode(vocabulary, text)
+        if text:
+            assert codec.decode(vocabulary, got) == text
+
+
+def test_shared_boundaries_are_inside_no_piece(vocabulary):
+    text = "The quick brown fox, señor; das Straßenfest 汉字 😀 x1y2"
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = 0
+    while (at := codec.shared_boundary(vocabulary, data, at + 1)) < len(data):
+        left, right = data[:at].tobytes().decode(), data[at:].tobytes().decode()
+        pair = (left[-1] + right[0]).replace(" ", codec.SPACE)
+        assert not any(pair in p for p in vocabulary.real)
