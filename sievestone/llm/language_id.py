@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import _LOWER, learned_fold, slices, small_batches, text_buffer
+from ._common import _LOWER, fresh, learned_fold, slices, small_batches, text_buffer
 
 BUCKET_BITS = 16
 RUN_BYTES = 24
 EM_STEPS = 12
 UNKNOWN = "und"
 _SLICE_BYTES = 1 << 20
+#: Runs whose n-grams are looked up at once: 400 KB of text, whatever a text's length.
+_RUNS = 1 << 14
 
 # Digits, punctuation and white space of ASCII say nothing of the language: all count as a space.
 _FOLD = np.where((np.arange(256) < 128) & ~(((np.arange(256) | 32) >= 97) & ((np.arange(256) | 32) <= 122)), 32, _LOWER).astype(np.uint32)
@@ -103,7 +105,11 @@ def infer(model: LanguageModel, buf: np.ndarray, offsets: np.ndarray, penalty: f
     first = np.concatenate([[0], np.cumsum(runs[some])])
     doc = np.repeat(np.arange(len(some)), runs[some])
     starts = offsets[some][doc] + (np.arange(first[-1]) - first[:-1][doc]) * RUN_BYTES
-    log_p = np.add.reduceat(model.log_p[_buckets(buf, offsets)], starts, axis=0).astype(np.float64)
+    bucket = _buckets(buf, offsets)
+    log_p = np.empty((len(starts), width))
+    for i in range(0, len(starts), _RUNS):
+        lo, hi = starts[i], starts[i + _RUNS] if i + _RUNS < len(starts) else len(buf)
+        log_p[i : i + _RUNS] = np.add.reduceat(model.log_p[bucket[lo:hi]], starts[i : i + _RUNS] - lo, axis=0)
     # Neighbouring n-grams overlap, so a run holds less evidence than its n-grams taken apart.
     log_p *= 0.5
     top = log_p.max(1, keepdims=True)
@@ -146,7 +152,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages")]
-    rows = docs.select(F.col(f"`{text_col}`").alias("_text_in"), *[F.col(f"`{c}`") for c in kept])
+    rows = docs.select(F.col(f"`{text_col}`").alias(fresh("text_in", kept)), *[F.col(f"`{c}`") for c in kept])
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("languages", T.ArrayType(T.StringType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import _U64, combine, drop_staged, pack, slices, small_batches, stage, text_buffer, unpack, word_hashes, word_spans
+from ._common import _U64, combine, drop_staged, fresh, pack, slices, small_batches, stage, text_buffer, unpack, word_hashes, word_spans
 
 _SLICE_BYTES = 1 << 20
 _SEED = 23
@@ -365,7 +365,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """All rows and columns of docs with component_id and kept as near_groups() gives
     them for the row's id. Columns with these names are replaced."""
     groups = near_groups(docs, id_col, text_col, **options).filter(F.col(id_col).isNotNull())
-    groups = groups.groupBy(F.col(id_col).alias("_id")).agg(F.min("component_id").alias("component_id"))
+    key = fresh("id", docs.columns)
+    groups = groups.groupBy(F.col(id_col).alias(key)).agg(F.min("component_id").alias("component_id"))
     rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("component_id", "kept")])
-    out = rows.join(groups, rows[f"`{id_col}`"] == groups["_id"], "left").drop("_id")
+    out = rows.join(groups, rows[f"`{id_col}`"] == groups[key], "left").drop(key)
     return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))

@@ -45,6 +45,44 @@ def test_language_id(spoken):
             assert r.held_out == (brute.fold(r.doc_id, 5) == 0)
 
 
+def test_mixture_against_plain(spoken):
+    """Log likelihoods of runs, EM and the choice of the set, one n-gram at a time."""
+    model = li.train(spoken.filter("doc_id < 200"))
+    width = len(model.langs)
+    for text in ("ka lo mi", speak("aa", 40, random.Random(1)) + " " + speak("cc", 30, random.Random(2)), speak("bb", 3, random.Random(3))):
+        data = np.frombuffer(text.encode(), np.uint8)
+        share, chosen, _ = li.infer(model, data, np.array([0, len(data)]))
+        bucket = li._buckets(data, np.array([0, len(data)]))
+        runs = [[0.5 * sum(float(model.log_p[b, k]) for b in bucket[i : i + li.RUN_BYTES]) for k in range(width)] for i in range(0, len(data), li.RUN_BYTES)]
+        pi = [1 / width] * width
+        for _ in range(li.EM_STEPS):
+            new = [0.0] * width
+            for r in runs:
+                e = [pi[k] * math.exp(r[k] - max(r)) for k in range(width)]
+                for k in range(width):
+                    new[k] += e[k] / sum(e) / len(runs)
+            pi = new
+        assert np.allclose(share[0], pi, atol=1e-5)
+        rank = sorted(range(width), key=lambda k: -pi[k])
+        fits = []
+        for n in range(1, width + 1):
+            part = {k: max(pi[k], 1e-12) for k in rank[:n]}
+            total = sum(part.values())
+            fits.append(sum(math.log(sum(x / total * math.exp(r[k] - max(r)) for k, x in part.items()) + 1e-300) + max(r) for r in runs) - 1.5 * (n - 1) * math.log(len(runs) + 1))
+        n = 1 + max(range(width), key=lambda k: fits[k])
+        assert set(np.flatnonzero(chosen[0])) == set(rank[:n])
+
+
+def test_language_of_a_long_text_is_that_of_its_pieces(spoken, monkeypatch):
+    model = li.train(spoken.filter("doc_id < 200"))
+    data = np.frombuffer(speak("cc", 3000, random.Random(5)).encode(), np.uint8)
+    offs = np.array([0, 1000, 1000, len(data)])
+    whole = li.infer(model, data, offs)
+    monkeypatch.setattr(li, "_RUNS", 7)
+    for a, b in zip(whole, li.infer(model, data, offs), strict=True):
+        assert np.allclose(a, b)
+
+
 def test_language_id_of_many_languages(spark):
     rng = random.Random(6)
     tongues = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(5)] for k in range(6)}
