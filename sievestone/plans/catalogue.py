@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import diagnostics, evaluation, evidence, packing, relational, retrieval, textual
+from . import context, diagnostics, evaluation, evidence, packing, relational, retrieval, textual
 
 
 def _wide(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,6 @@ def _wide(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
-_PARTS = (retrieval, textual, relational, evaluation, diagnostics, packing, evidence)
+_PARTS = (retrieval, textual, relational, evaluation, diagnostics, packing, evidence, context)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _wide(f) for p in _PARTS for n, f in p.QUERIES.items()}
 ORACLE: dict[str, str] = {n: s for p in _PARTS for n, s in p.ORACLE.items()}
