@@ -32,28 +32,53 @@ def innermost_span(points: DataFrame, spans: DataFrame, keys: list[str], point_i
     return hit.groupBy(*keys, point_id, "at").agg(best.alias("b")).select(*keys, point_id, "at", "b.*")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, tie: str, out: str) -> DataFrame:
-    """Each row of left with the value of the last row of right not after it, by keys: one
-    sort of the union and a running last, no pairs."""
-    a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_tie", F.lit(None).cast(right.schema[tie].dataType))
-    b = right.select(*[F.col(c) if c in (*keys, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), F.col(value).alias("_v"), F.col(tie).alias("_tie"))
-    order = W.partitionBy(*keys).orderBy(time, "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
-    both = a.select(*left.columns, "_side", "_v", "_tie").union(b)
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(order)).filter("_side = 1").drop("_side", "_v", "_tie")
+def _slice(df: DataFrame, time: str, every: str) -> Column:
+    """`every` of a time, or a thousand units of a number."""
+    return F.date_trunc(every, time) if "timestamp" in dict(df.dtypes)[time] or dict(df.dtypes)[time] == "date" else F.floor(F.col(time) / 1000)
+
 
+def _union(left: DataFrame, right: DataFrame, keys: list[str], time: str, columns: dict[str, Column], every: str) -> DataFrame:
+    """Rows of left (_side 1, `columns` null) and right (_side 0), with the slice of time that they are in."""
+    values = right.select(*[c.alias(n) for n, c in columns.items()]).schema
+    a = left.select(*left.columns, F.lit(1).alias("_side"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in values])
+    b = right.select(*[F.col(c) if c in (*keys, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), *[c.alias(n) for n, c in columns.items()])
+    return a.union(b).withColumn("_slice", _slice(left, time, every))
 
-def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
-    """Each row of left with the value of the nearest row of right; the earlier of two as near."""
+
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, tie: str, out: str, every: str = "day") -> DataFrame:
+    """Each row of left with the value of the last row of right not after it, by keys: one
+    sort of the union and a running last within each slice of time, and the last value of
+    the slices before where a slice has none yet. No pairs, and no task for a whole key."""
+    both = _union(left, right, keys, time, {"_v": F.col(value), "_tie": F.col(tie)}, every)
+    own = F.last("_v", ignorenulls=True).over(W.partitionBy(*keys, "_slice").orderBy(time, "_side", "_tie").rowsBetween(W.unboundedPreceding, 0))
+    ends = both.filter("_side = 0 and _v is not null").groupBy(*keys, "_slice").agg(F.max_by("_v", F.struct(time, "_tie")).alias("_end"))
+    # One row for each slice of a key that is asked about or has a value.
+    slices = both.select(*keys, "_slice").distinct().join(ends, [*keys, "_slice"], "left")
+    before = F.last("_end", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    carried = slices.withColumn("_carried", before).select(*keys, "_slice", "_carried")
+    x = both.withColumn("_own", own).filter("_side = 1").join(carried, [*keys, "_slice"], "left")
+    return x.select(*left.columns, F.coalesce("_own", "_carried").alias(out))
+
+
+def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, out: str, every: str = "day") -> DataFrame:
+    """Each row of left with the value of the nearest row of right; the earlier of two as near.
+    As asof_backward(), in both directions."""
     t = F.col(time)
-    a = left.withColumn("_side", F.lit(1)).withColumn("_r", F.lit(None).cast("struct<t:timestamp,v:bigint>"))
-    b = right.select(*[F.col(c) if c in (*keys, time) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.lit(0).alias("_side"), F.struct(t.alias("t"), F.col(value).cast("bigint").alias("v")).alias("_r"))
-    back = W.partitionBy(*keys).orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*keys).orderBy(F.desc(time), "_side").rowsBetween(W.unboundedPreceding, 0)
-    both = a.select(*left.columns, "_side", "_r").union(b)
-    both = both.withColumn("_p", F.last("_r", ignorenulls=True).over(back)).withColumn("_n", F.last("_r", ignorenulls=True).over(ahead)).filter("_side = 1")
+    both = _union(left, right, keys, time, {"_r": F.struct(t.alias("t"), F.col(value).cast("bigint").alias("v"))}, every)
+    within = W.partitionBy(*keys, "_slice")
+    back, ahead = within.orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0), within.orderBy(F.desc(time), "_side").rowsBetween(W.unboundedPreceding, 0)
+    ends = both.filter("_side = 0").groupBy(*keys, "_slice").agg(F.max_by("_r", "_r.t").alias("_last"), F.min_by("_r", "_r.t").alias("_first"))
+    slices = both.select(*keys, "_slice").distinct().join(ends, [*keys, "_slice"], "left")
+    w = W.partitionBy(*keys)
+    carried = slices.select(
+        *keys, "_slice", F.last("_last", ignorenulls=True).over(w.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)).alias("_cp"),
+        F.last("_first", ignorenulls=True).over(w.orderBy(F.desc("_slice")).rowsBetween(W.unboundedPreceding, -1)).alias("_cn"),
+    )
+    x = both.withColumn("_p", F.last("_r", ignorenulls=True).over(back)).withColumn("_n", F.last("_r", ignorenulls=True).over(ahead)).filter("_side = 1")
+    x = x.join(carried, [*keys, "_slice"], "left").withColumn("_p", F.coalesce("_p", "_cp")).withColumn("_n", F.coalesce("_n", "_cn"))
     gap = lambda c: F.abs(F.unix_micros(F.col(f"{c}.t")) - F.unix_micros(t))
     nearest = F.when(F.col("_p").isNull(), F.col("_n.v")).when(F.col("_n").isNull(), F.col("_p.v")).when(gap("_n") < gap("_p"), F.col("_n.v")).otherwise(F.col("_p.v"))
-    return both.withColumn(out, nearest).drop("_side", "_r", "_p", "_n")
+    return x.select(*left.columns, nearest.alias(out))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:

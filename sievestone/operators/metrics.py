@@ -16,8 +16,9 @@ def group_entropy(df: DataFrame, keys: list[str], item: str, normalized: bool =
     """keys, n, distinct, entropy: of the shares of `item` within keys; natural logarithm
     over ln(distinct) if normalized (0 for one item), else to `base`."""
     c = df.groupBy(*keys, item).agg(F.count("*").alias("c")) if keys else df.groupBy(item).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    c = c.withColumn("t", F.sum("c").over(w))
+    # Without keys the total is one row.
+    t = c.groupBy(*keys).agg(F.sum("c").alias("t"))
+    c = c.join(t, keys) if keys else c.join(F.broadcast(t))
     p = F.col("c") / F.col("t")
     by = c.groupBy(*keys).agg(F.sum("c").alias("n"), F.count("*").alias("distinct"), F.sum(-p * F.log(p)).alias("h"))
     if base:
@@ -58,28 +59,50 @@ def cqi4(ranked: DataFrame, terms: str = "terms", file: str = "file", final: str
     return x.withColumn("zone", zone)
 
 
-def histogram_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def histogram_stats(df: DataFrame, keys: list[str], value: str, slices: int = 512) -> DataFrame:
     """count, sum, mean, min, max and p50, p95, p99 by index floor(n * q), without interpolation.
 
-    The n-th value of a key is found by counting equal values, so a key of any size is
-    aggregated before it is ordered."""
+    Equal values are counted first. The values of a key are cut into slices of one width; the
+    counts of slices tell in which of them a percentile lies, and only those are put in
+    order. So no task orders a whole key, however many values it has."""
     c = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*keys)
-    c = c.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("v")))
-    return c.groupBy(*keys).agg(
-        F.max("n").alias("count"), F.sum(F.col("v") * F.col("c")).alias("sum"), (F.sum(F.col("v") * F.col("c")) / F.max("n")).alias("mean"),
-        F.min("v").alias("min"), F.max("v").alias("max"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"),
-    )
-
-
-def sliding_percentile(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 500, name: str = "percentile") -> DataFrame:
-    """The share of the last `size` earlier values below each value; 0.5 where there is none."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-size, -1)
-    before = F.collect_list(value).over(w)
-    x = df.withColumn("_before", before)
-    below = F.size(F.filter("_before", lambda y: y < F.col(value)))
-    return x.withColumn(name, F.when(F.size("_before") == 0, 0.5).otherwise(below / F.size("_before"))).drop("_before")
+    whole = c.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("sum"), F.min("v").alias("min"), F.max("v").alias("max"))
+    at = F.when(F.col("max") > F.col("min"), F.least(F.lit(slices - 1), F.floor((F.col("v") - F.col("min")) / (F.col("max") - F.col("min")) * slices))).otherwise(F.lit(0))
+    placed = c.join(whole.select(*keys, "min", "max"), keys).withColumn("_s", at.cast("int")).select(*keys, "v", "c", "_s")
+    w = W.partitionBy(*keys).orderBy("_s")
+    sums = placed.groupBy(*keys, "_s").agg(F.sum("c").alias("_c")).withColumn("_before", F.sum("_c").over(w) - F.col("_c")).join(whole.select(*keys, "n"), keys)
+    wanted = F.array(*[F.least(F.floor(F.col("n") * q), F.col("n") - 1) for q in (0.5, 0.95, 0.99)])
+    hit = sums.select("*", F.posexplode(wanted).alias("_q", "_i")).filter((F.col("_before") <= F.col("_i")) & (F.col("_i") < F.col("_before") + F.col("_c")))
+    near = placed.join(hit.select(*keys, "_s", "_q", "_i", "_before"), [*keys, "_s"])
+    upto = F.sum("c").over(W.partitionBy(*keys, "_s", "_q").orderBy("v")) + F.col("_before")
+    found = near.withColumn("_u", upto).filter(F.col("_u") > F.col("_i")).groupBy(*keys).agg(*[F.min(F.when(F.col("_q") == k, F.col("v"))).alias(p) for k, p in enumerate(("p50", "p95", "p99"))])
+    return whole.join(found, keys).select(*keys, F.col("n").alias("count"), "sum", (F.col("sum") / F.col("n")).alias("mean"), "min", "max", "p50", "p95", "p99")
+
+
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str, slice_: Column) -> DataFrame:
+    """df with the number (from 0) of each row within keys by order. slice_ must not fall along
+    the order: rows are numbered within a slice, and slices by the sum of those before."""
+    x = df.withColumn("_slice", slice_)
+    n = x.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+    n = n.withColumn("_before", F.sum("_n").over(W.partitionBy(*keys).orderBy("_slice")) - F.col("_n")).drop("_n")
+    own = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(*order)) - 1
+    return x.withColumn(name, own).join(n, [*keys, "_slice"]).withColumn(name, F.col(name) + F.col("_before")).drop("_slice", "_before")
+
+
+def sliding_percentile(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 500, name: str = "percentile", slice_: Column | None = None, chunk: int = 10000) -> DataFrame:
+    """The share of the last `size` earlier values below each value; 0.5 where there is none.
+
+    The rows of a key are numbered by slices of the order (by default days of its first
+    column) and cut into chunks; the last `size` rows of each go to the next one too. So a
+    task holds one chunk, however long a key is."""
+    slice_ = F.date_trunc("day", order[0]) if slice_ is None else slice_
+    x = row_numbers(df, keys, order, "_row", slice_)
+    at = F.floor(F.col("_row") / chunk)
+    both = F.when(F.col("_row") % chunk >= max(0, chunk - size), F.array(at, at + 1)).otherwise(F.array(at))
+    x = x.withColumn("_chunk", F.explode(both)).withColumn("_own", F.floor(F.col("_row") / chunk) == F.col("_chunk"))
+    x = x.withColumn("_values", F.collect_list(value).over(W.partitionBy(*keys, "_chunk").orderBy("_row").rowsBetween(-size, -1))).filter("_own")
+    below = F.size(F.filter("_values", lambda y: y < F.col(value)))
+    return x.withColumn(name, F.when(F.size("_values") == 0, 0.5).otherwise(below / F.size("_values"))).drop("_values", "_own", "_chunk", "_row")
 
 
 def size_profile(df: DataFrame, level: str, size: str) -> DataFrame:

@@ -128,6 +128,35 @@ def test_asof_backward(spark):
     assert got == {(1, 5): 50, (1, 1): None, (2, 3): None}
 
 
+def test_asof_over_slices(spark):
+    """Values are carried over slices of time that hold none."""
+    rng = random.Random(2)
+    left = [(rng.randrange(3), rng.randrange(20000), i) for i in range(150)]
+    right = [(rng.randrange(2), t, t) for t in rng.sample(range(20000), 60)]
+    a, b = spark.createDataFrame(left, "k int, t int, i int").repartition(3), spark.createDataFrame(right, "k int, t int, v int").repartition(3)
+    got = {r.i: r.x for r in intervals.asof_backward(a, b, ["k"], "t", "v", "v", "x").collect()}
+    assert got == {i: max((v for kk, tt, v in right if kk == k and tt <= t), default=None) for k, t, i in left}
+
+
+def test_sliding_percentile_and_histogram_by_parts(spark):
+    rng = random.Random(3)
+    rows = [(k, t, i, rng.choice([rng.randrange(20), rng.random() * 1000])) for i, (k, t) in enumerate((rng.choice("ab"), rng.randrange(300)) for _ in range(400))]
+    rows += [("c", 1, 1000, 7.0), ("d", 1, 1001, 2.0), ("d", 2, 1002, 2.0)]
+    df = spark.createDataFrame([(k, t, i, float(v)) for k, t, i, v in rows], "k string, t int, i int, v double").repartition(4)
+    got = {r.i: r.percentile for r in metrics.sliding_percentile(df, ["k"], ["t", "i"], "v", size=15, slice_=F.floor(F.col("t") / 7), chunk=40).collect()}
+    want = {}
+    for k in "abcd":
+        mine = sorted((t, i, v) for kk, t, i, v in rows if kk == k)
+        for n, (_, i, v) in enumerate(mine):
+            before = [x for _, _, x in mine[max(0, n - 15) : n]]
+            want[i] = sum(x < v for x in before) / len(before) if before else 0.5
+    assert got == want and len(got) == len(rows)
+    for r in metrics.histogram_stats(df, ["k"], "v", slices=6).collect():
+        v = sorted(float(x) for kk, _, _, x in rows if kk == r.k)
+        assert (r["count"], r.min, r.max) == (len(v), v[0], v[-1])
+        assert [r.p50, r.p95, r.p99] == [v[min(int(len(v) * q), len(v) - 1)] for q in (0.5, 0.95, 0.99)]
+
+
 def test_graph(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
