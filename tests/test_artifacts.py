@@ -30,6 +30,19 @@ def test_adjacency_has_both_ways(spark, tmp_path):
     assert got == {("a", "b", "USES", 0.5), ("b", "a", "REV_USES", 0.5), ("a", "c", "CALLS", 1.0), ("c", "a", "REV_CALLS", 1.0)}
 
 
+def test_shared_folder_without_a_setting():
+    """The warehouse is shared too; the session's settings stay as they are."""
+    from types import SimpleNamespace
+
+    from sievestone.sources.shared import shared_dir
+
+    def session(settings):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, *d: settings.get(k, *d)))
+
+    assert shared_dir(session({"spark.checkpoint.dir": "hdfs:///c/", "spark.sql.warehouse.dir": "hdfs:///w"})) == "hdfs:///c"
+    assert shared_dir(session({"spark.sql.warehouse.dir": "hdfs:///w/"})) == "hdfs:///w/_staged"
+
+
 def test_queries_and_responses(spark, tmp_path):
     rows = [{"query_id": 1, "query_text": "how"}, {"query_id": 2, "query_text": "why"}]
     for name, data in (("a.json", rows), ("b.json", {"queries": rows})):
