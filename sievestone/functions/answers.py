@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import portable
+
 # What marks a step, a contrast and a reference.
 STEP = "step\\s*\\d|(?m:^\\s*\\d+[.):])|\\bfirst\\b|\\bthen\\b|\\bnext\\b|\\bfinally\\b|->|==>"
 CONTRAST = "\\b(?:however|whereas|in contrast|on the other hand|unlike|while|but|alternatively|advantage|disadvantage|pro|con|tradeoff|trade.off|better|worse|faster|slower|compared to|difference|similar|distinct)\\b"
 
 
 def _count(text: Column, pattern: str) -> Column:
-    return F.size(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({pattern})"), F.lit(1)))
+    return F.size(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(portable(f"({pattern})")), F.lit(1)))
 
 
 def step_score(answer: Column, query_type: Column) -> Column:

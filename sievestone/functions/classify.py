@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import portable
+
 # The patterns of each class, in the order in which the classes are tried.
 INTENT_RULES = (
     ("refactor", ("\\brefactor\\b", "\\brestructure\\b", "\\brename\\b", "\\bextract\\b", "\\bclean\\s*up\\b")),
@@ -40,7 +42,7 @@ def first_rule(text: Column, rules, default: str) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
     out = None
     for name, patterns in rules:
-        found = lowered.rlike("|".join(f"(?:{p})" for p in patterns))
+        found = lowered.rlike(portable("|".join(f"(?:{p})" for p in patterns)))
         out = F.when(found, name) if out is None else out.when(found, name)
     return out.otherwise(default)
 

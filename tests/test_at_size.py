@@ -26,3 +26,24 @@ def test_vectors_meet_queries_in_products(spark):
     size = lambda x: sum(s * s for s in x) ** 0.5
     want = {(a, b) for a, x in rows if a % 50 == 0 for b, y in rows if b != a and round(sum(s * t for s, t in zip(x, y)) / (size(x) * size(y)), 9) >= 0.6}
     assert {(r.query_id, r.vec_id) for r in alike.collect()} == want
+
+
+def test_words_end_where_those_of_sql_end(spark):
+    from sievestone.functions import answers as an
+    from sievestone.functions import classify as cl
+
+    x = spark.createDataFrame([("écon but señor pro",), ("é 1. x",), ("a\r1. x\n2) y",), ("éflow",)], "t string")
+    got = x.select(an._count(F.col("t"), an.CONTRAST).alias("c"), an._count(F.col("t"), an.STEP).alias("s"), cl.query_type(F.col("t")).alias("k")).collect()
+    assert [tuple(r) for r in got] == [(3, 0, "explanation"), (0, 0, "explanation"), (0, 1, "explanation"), (0, 0, "trace")]
+
+
+def test_queries_and_all_blocks_of_a_name_never_meet(spark):
+    n = 400
+    blocks = spark.createDataFrame([(i, f"def shared(x): # {'y' * (i % 9)}", "f.py", f"s{i}") for i in range(n)], "block_id long, content string, file string, symbol string")
+    queries = spark.createDataFrame([(i, "shared") for i in range(50)], "query_id long, q string")
+    few = spark.createDataFrame([(i, 500 + i, "pass", "f.py", "", 1) for i in range(50)] + [(0, 0, "pass", "f.py", "", 2)], "query_id long, block_id long, content string, file string, symbol string, rank int")
+    few = few.union(few.withColumn("block_id", F.col("block_id") + 1000)).union(few.withColumn("block_id", F.col("block_id") + 2000))
+    for most in (None, 6):
+        df = cx.precision_recovery(queries, few, blocks, own_most=most)
+        assert {(r.query_id, r.block_id) for r in df.collect()} == {(i, 9 if i == 0 else 0) for i in range(50)}
+        assert "WindowGroupLimit" in plan(df)
