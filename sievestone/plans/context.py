@@ -47,7 +47,7 @@ nn as (select query_id, least(3, floor(count(*) * 0.5)) as cap from top10 group
 pk as (select *, row_number() over (partition by query_id order by i) as k from me where r = 1)
 select query_id, block_id, identifier, round(confidence, 6) as confidence from pk join nn using (query_id) where k <= cap"""))
 def precision_recovery(spark, d):
-    return cx.precision_recovery(questions(spark, d), _top(spark, d), code_blocks(spark, d)).select("query_id", "block_id", "identifier", R6("confidence"))
+    return cx.precision_recovery(questions(spark, d), _top(spark, d), code_blocks(spark, d), own_most=10).select("query_id", "block_id", "identifier", R6("confidence"))
 
 
 _CALLS = "calls as (select o_orderkey as caller, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as callee from orders union all select o_orderkey, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) from orders)"
