@@ -102,8 +102,8 @@ def graph_stitch(edges: DataFrame, seeds: DataFrame, hops: int = 2, high_beam: i
 
 
 def dangling(edges: DataFrame, column: str, nodes: DataFrame, node_col: str) -> DataFrame:
-    """Edges whose column names no node."""
-    return edges.join(nodes.select(F.col(node_col).alias("_n")).distinct(), F.col(column) == F.col("_n"), "left_anti")
+    """Edges whose column names no node. An anti join needs no distinct nodes, so none are held in a hash table."""
+    return edges.join(nodes.select(F.col(node_col).alias("_n")), F.col(column) == F.col("_n"), "left_anti")
 
 
 def ancestors(symbols: DataFrame, depth: int = 8) -> DataFrame:

@@ -158,9 +158,16 @@ def scope_chains(spark, d):
 
 @query("relation_union", f"with {_SUPPLY} select 'SUPPLIES' as relation, count(*) as n, count(distinct src) as n_src, count(distinct dst) as n_dst from supply union all select 'ORDERS', count(*), count(distinct a), count(distinct b) from (select distinct o_custkey as a, o_orderkey as b from orders)")
 def relation_union(spark, d):
-    s = _supply(spark, d).select(F.lit("SUPPLIES").alias("relation"), "src", "dst")
-    o = table(spark, d, "orders").select(F.lit("ORDERS"), F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).distinct()
-    return s.union(o).groupBy("relation").agg(F.count("*").alias("n"), F.count_distinct("src").alias("n_src"), F.count_distinct("dst").alias("n_dst"))
+    # Distinct keys stay numbers, and each count is of groups: no row stands three times, and no task holds texts.
+    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    out = None
+    for name, edges in (("SUPPLIES", s), ("ORDERS", o)):
+        n = edges.distinct().agg(F.count("*").alias("n"))
+        ends = [edges.select(c).distinct().agg(F.count(c).alias(f"n_{c}")) for c in ("src", "dst")]
+        row = n.join(ends[0]).join(ends[1]).select(F.lit(name).alias("relation"), "n", "n_src", "n_dst")
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("out_degree_caps", f"with {_SUPPLY} select src, dst from (select *, row_number() over (partition by src order by dst) as r from supply) where r <= 5")

@@ -47,3 +47,12 @@ def test_queries_and_all_blocks_of_a_name_never_meet(spark):
         df = cx.precision_recovery(queries, few, blocks, own_most=most)
         assert {(r.query_id, r.block_id) for r in df.collect()} == {(i, 9 if i == 0 else 0) for i in range(50)}
         assert "WindowGroupLimit" in plan(df)
+
+
+def test_anti_joins_hold_no_distinct_nodes(spark):
+    from sievestone.operators import graph
+
+    edges = spark.createDataFrame([(1, 5), (2, 6), (3, None)], "id long, to long")
+    nodes = spark.createDataFrame([(5,), (5,), (None,)], "n long")
+    got = graph.dangling(edges, "to", nodes, "n")
+    assert {r.id for r in got.collect()} == {2, 3} and "Aggregate" not in plan(got)
