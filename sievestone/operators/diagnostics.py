@@ -65,12 +65,12 @@ def line_kinds(lines: Column) -> Column:
     return F.aggregate(lines, F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("kinds")), step)["kinds"]
 
 
-def composition(blocks: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, n_lines, and the percentage of each class of line with text; boilerplate is the
+def composition(blocks: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, the columns to keep, n_lines, and the percentage of each class of line with text; boilerplate is the
     share of lines over 20 characters that repeat an earlier one of the block."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
     long = F.filter(lines, lambda x: F.length(F.trim(x)) > 20)
-    x = blocks.select(key, lines.alias("l"), long.alias("long"))
+    x = blocks.select(key, *keep, lines.alias("l"), long.alias("long"))
     x = x.withColumn("kinds", line_kinds(F.col("l")))
     n = F.size("l")
     share = lambda name: F.when(n == 0, 0.0).otherwise(F.size(F.filter("kinds", lambda k: k == name)) * 100.0 / n)
@@ -78,11 +78,14 @@ def composition(blocks: DataFrame, key: str, text: str = "text") -> DataFrame:
     m = F.size("long")
     of = F.arrays_zip("kinds", "l")
     count = lambda pattern: F.size(F.filter(of, lambda z: (z["kinds"] == "signature") & z["l"].rlike(pattern)))
-    x = x.select(
-        key, n.alias("n_lines"), *[c.alias(k) for k, c in out.items()],
-        F.when(m == 0, 0.0).otherwise((m - F.size(F.array_distinct("long"))) / m).alias("boilerplate"), count(FUNCTION).alias("functions"), count(CLASS).alias("_classes"),
+    measures = F.struct(
+        n.alias("n_lines"), *[c.alias(k) for k, c in out.items()],
+        F.when(m == 0, 0.0).otherwise((m - F.size(F.array_distinct("long"))) / m).alias("boilerplate"), count(FUNCTION).alias("functions"), count(CLASS).alias("classes"),
+        # Not deterministic, so no filter on a measure is pushed below, where the lines would be read again for it.
+        F.monotonically_increasing_id().alias("row"),
     )
-    return x.withColumn("definitions", F.col("functions") + F.col("_classes")).drop("_classes")
+    names = ("n_lines", *out, "boilerplate", "functions")
+    return x.select(key, *keep, measures.alias("_m")).select(key, *keep, *[F.col(f"_m.{c}") for c in names], (F.col("_m.functions") + F.col("_m.classes")).alias("definitions"))
 
 
 def warnings(measured: DataFrame) -> Column:
@@ -111,6 +114,12 @@ def propose(measured: DataFrame, key: str, rules=ACTION_RULES) -> DataFrame:
     return measured.select(key, F.explode(F.filter(all_rules, lambda x: x.isNotNull())).alias("p")).select(key, "p.*")
 
 
+def propose_plans(measured: DataFrame, target: str, plans: tuple[tuple[ActionRule, ...], ...]) -> DataFrame:
+    """(action, target, priority, confidence, plan): what the rules of several plans propose, by one reading of the measures."""
+    each = [F.when(F.expr(r.when), F.struct(F.lit(r.action).alias("action"), F.lit(ACTIONS[r.action]).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(i).alias("plan"))) for i, rules in enumerate(plans) for r in rules]
+    return measured.select(target, F.explode(F.array(*each)).alias("p")).filter("p is not null").select("p.action", target, "p.priority", "p.confidence", "p.plan")
+
+
 def winners(proposals: DataFrame, key: str) -> DataFrame:
     """Of each block the action of the smallest type, then the greatest confidence, then by rule."""
     best = F.min_by(F.struct("rule", "action", "confidence"), F.struct("priority", -F.col("confidence"), "rule"))

@@ -131,9 +131,13 @@ es_ as (select cand.query_id, block_id, content, case when rank <= 5 then 30 els
 es as (""" + " union all ".join(f"select query_id, block_id, {i} as o, '{n}' as role, s + 5 * ({_MARKS(m)}) as score from es_" for i, (n, m) in enumerate(cx.ROLES)) + ")"
 
 
+def _evidence(spark, d):
+    return cx.evidence_scores(candidate_blocks(spark, d, *cx.evidence_columns()), questions(spark, d))
+
+
 @query("evidence_scores", with_code(_EVIDENCE) + " select query_id, block_id, role, score from es")
 def evidence_scores(spark, d):
-    return cx.evidence_scores(candidate_blocks(spark, d), questions(spark, d)).select("query_id", "block_id", "role", "score")
+    return _evidence(spark, d).select("query_id", "block_id", "role", "score")
 
 
 _BEST = lambda i, used: f"p{i} as (select query_id, role, block_id, score from (select *, row_number() over (partition by query_id order by score desc, block_id) as r from es where o = {i}{''.join(f' and not exists (select 1 from p{j} where p{j}.query_id = es.query_id and p{j}.block_id = es.block_id)' for j in used)}) where r = 1)"
@@ -141,7 +145,7 @@ _BEST = lambda i, used: f"p{i} as (select query_id, role, block_id, score from (
 
 @query("evidence_picks", with_code(_EVIDENCE) + f", {_BEST(0, [])}, {_BEST(1, [0])}, {_BEST(2, [0, 1])} select * from p0 union all select * from p1 union all select * from p2")
 def evidence_picks(spark, d):
-    return cx.evidence_picks(cx.evidence_scores(candidate_blocks(spark, d), questions(spark, d)))
+    return cx.evidence_picks(_evidence(spark, d))
 
 
 @query("support_surface", with_code("select query_id, block_id, case when rank % 3 = 0 and rank <= 30 then 'final_context' else 'ranked_surface' end as source, case when rank % 3 = 0 and rank <= 30 then -1 else rank end as rank from cand where rank <= 40"))
@@ -153,10 +157,8 @@ def support_surface(spark, d):
 @query("merged_plans", with_code(f", {_MEASURED}, pa as (" + " union all ".join(f"select block_id, '{r.action}' as action, {dg.ACTIONS[r.action]} as priority, {r.confidence} as confidence, 0 as p from meas where {r.when}" for r in dg.ACTION_RULES) + """ union all select block_id, 'KEEP', 2, 0.5, 1 from meas where signal > 0.6)
 select action, file, min(priority) as priority, max(confidence)::double as confidence, count(distinct p) as n_plans from pa join code using (block_id) group by 1, 2"""))
 def merged_plans(spark, d):
-    m, files = _measured(spark, d), code_blocks(spark, d).select("block_id", "file")
-    a = dg.propose(m, "block_id").join(files, "block_id")
-    b = m.filter("signal > 0.6").select("block_id", F.lit("KEEP").alias("action"), F.lit(2).alias("priority"), F.lit(0.5).alias("confidence")).join(files, "block_id")
-    return cx.best_actions([a, b], "file")
+    plans = (dg.ACTION_RULES, (dg.ActionRule("signal_keep", "KEEP", 0.5, "signal > 0.6"),))
+    return cx.best_actions(dg.propose_plans(_measured(spark, d, "file"), "file", plans), "file", len(plans))
 
 
 @query("simple_paths", """with e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem union select distinct 'p' || l_partkey, 'o' || l_orderkey from lineitem),
@@ -201,12 +203,11 @@ select query_id, round(avg(rerank), 8) as m1, round(any_value(h), 6) as m3, roun
 def kernel_metrics(spark, d):
     from pyspark.sql import Window as W
 
-    k = candidate_blocks(spark, d).withColumns({"final": F.col("base") + 0.37 * F.col("rerank"), "tokens": tx.tokens_quarter_min1(F.col("content"))})
-    p = k.groupBy("query_id", "file").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("query_id")))
-    h = p.groupBy("query_id").agg(F.when(F.count("*") <= 1, 0.0).otherwise(F.sum(-F.col("p") * F.log2("p"))).alias("m3"))
-    g = op.geometry(k, 0.37).select("query_id", F.col("influence").alias("m6"))
-    m = k.groupBy("query_id").agg(F.avg("rerank").alias("m1"), (F.max("final") - F.min("final")).alias("m5"), (F.sum("tokens") / 4000).alias("m7"))
-    return m.join(h, "query_id").join(g, "query_id").select("query_id", F.round("m1", 8).alias("m1"), R6("m3"), R6("m5"), R6("m6"), R6("m7"))
+    k = candidate_blocks(spark, d, "file", tx.tokens_quarter_min1(F.col("content")).alias("tokens")).withColumn("final", F.col("base") + 0.37 * F.col("rerank"))
+    h, _ = op.group_entropy(F.col("held"), F.log2)
+    more = (F.avg("rerank").alias("m1"), h.alias("m3"), (F.max("final") - F.min("final")).alias("m5"), (F.sum("tokens") / 4000).alias("m7"))
+    x = op.geometry(k.withColumn("held", F.count("*").over(W.partitionBy("query_id", "file"))), 0.37, more=more)
+    return x.select("query_id", F.round("m1", 8).alias("m1"), R6("m3"), R6("m5"), F.round("influence", 6).alias("m6"), R6("m7"))
 
 
 @query("query_summaries", """select c.conv_id, c.turn, length(c.text) // 4 as tokens, e.n as n_events, l.quality, coalesce(l.toxic, 0) as toxic from conversations c left join (select user_id, count(*) as n from events group by 1) e on e.user_id = c.conv_id left join (select doc_id, min(quality) as quality, max(toxic) as toxic from labels group by 1) l on l.doc_id = c.conv_id where role = 'assistant'""")

@@ -37,8 +37,8 @@ meas as (select *, case when s + z = 0 then 0.5 else round(least(1.0, s / 100),
 _PROPOSED = "prop as (" + " union all ".join(f"select block_id, '{r.name}' as rule, '{r.action}' as action, {dg.ACTIONS[r.action]} as priority, {r.confidence} as confidence from meas where {r.when}" for r in dg.ACTION_RULES) + ")"
 
 
-def _measured(spark, d):
-    return dg.signal_noise(dg.composition(code_blocks(spark, d), "block_id", "content"))
+def _measured(spark, d, *keep):
+    return dg.signal_noise(dg.composition(code_blocks(spark, d), "block_id", "content", keep))
 
 
 @query("code_composition", with_code(f", {_MEASURED} select block_id, n as n_lines, " + ", ".join(f"round({c}_pct, 4) as {c}_pct" for c in ("comment", "logging", "imports", "signature", "error", "control", "code", "docstring")) + ", functions, definitions from meas"))
