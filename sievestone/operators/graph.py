@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,19 +56,90 @@ def propagate(edges: DataFrame, seeds: DataFrame, decay: float = 0.8, depth: int
     return out.groupBy("node").agg(F.max("score").alias("score"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each reaches, edges taken both ways.
-    Labels spread along edges and are then shortened through the label's own label."""
-    both = _written(undirected(edges))
+#: Links that a task holds at once while it thins them.
+HELD = 4_000_000
+
+
+def _stars(links: pa.Table) -> pa.Table:
+    """Links (a, b) with the same nodes and components: each node with the smallest of its component."""
+    a, b = (links.column(c).combine_chunks() for c in ("a", "b"))
+    both = pc.dictionary_encode(pa.concat_arrays([a, b]))
+    order = pc.sort_indices(both.dictionary).to_numpy()
+    n = len(order)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    # A link without one end only tells its other end.
+    codes = both.indices.to_numpy(zero_copy_only=False)
+    whole = links.column("a").is_valid().to_numpy() & links.column("b").is_valid().to_numpy()
+    x, y = (place[c[whole].astype(np.int64)] for c in (codes[: len(a)], codes[len(a) :]))
+    top = np.arange(n)
+    while len(x):
+        # A root takes one smaller root that a link leads to, so each tree's root stays its smallest node.
+        top[np.maximum(x, y)] = np.minimum(x, y)
+        while not np.array_equal(up := top[top], top):
+            top = up
+        x, y = top[x], top[y]
+        open_ = x != y
+        x, y = x[open_], y[open_]
+    nodes = both.dictionary.take(pa.array(order))
+    # A smallest node needs a row of its own only where it is alone.
+    told = (top != np.arange(n)) | (np.bincount(top, minlength=n) == 1)
+    out = pa.table([nodes.take(pa.array(top[told])), nodes.take(pa.array(np.flatnonzero(told)))], links.schema)
+    if both.null_count:
+        out = pa.concat_tables([out, pa.table([pa.nulls(1, a.type)] * 2, links.schema)])
+    return out
+
+
+def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a partition's links, some millions at a time; what they leave is thinned with what follows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= HELD:
+            stars = _stars(pa.Table.from_batches(held))
+            held, n = stars.to_batches(), len(stars)
+            # Where links don't thin, they go on as they are.
+            if n > HELD // 2:
+                yield from held
+                held, n = [], 0
+    if n:
+        yield from _stars(pa.Table.from_batches(held)).to_batches()
+
+
+def _thin(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the same nodes and components, far fewer where many run within a group. Each core thins
+    one share of the nodes, as few large shares leave fewer links than many small ones."""
+    few = links.repartition("a").coalesce(max(1, links.sparkSession.sparkContext.defaultParallelism))
+    return _written(few.mapInArrow(_thinned, links.schema))
+
+
+def connected_components(nodes: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each reaches over edges between nodes, taken both ways;
+    without nodes, those of the edges.
+
+    Edges are thinned where they lie. In each round a node takes the smallest of itself and its neighbours as
+    parent, the parents are shortened once, and what joins different parents is thinned anew: most vanishes."""
+    links = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    if nodes is not None:
+        for end in ("a", "b"):
+            links = links.join(nodes.select(F.col("node").alias(end)), end, "left_semi")
+        links = links.select("a", "b")
+    links = _thin(links)
+    if nodes is None:
+        nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     label = _written(nodes.select("node").distinct().withColumn("component", F.col("node")))
     while True:
-        near = both.join(label, both["dst"] == label["node"]).groupBy("src").agg(F.min("component").alias("near"))
-        step = _written(label.join(near, label["node"] == near["src"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component")))
-        hop = step.select(F.col("node").alias("via"), F.col("component").alias("further"))
-        label = _written(step.join(hop, step["component"] == hop["via"], "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
-        if not label.filter("old <> component").limit(1).count():
-            return label.select("node", "component")
-        label = label.select("node", "component")
+        links = links.filter("a <> b")
+        if not links.limit(1).count():
+            return label
+        both = links.union(links.select("b", "a"))
+        parent = _written(both.groupBy(F.col("a").alias("child")).agg(F.min("b").alias("up")).select("child", F.least("child", "up").alias("up")))
+        above = parent.select(F.col("child").alias("via"), F.col("up").alias("further"))
+        parent = _written(parent.join(above, parent["up"] == above["via"]).select("child", F.col("further").alias("up")))
+        label = _written(label.join(parent, label["component"] == parent["child"], "left").select("node", F.coalesce("up", "component").alias("component")))
+        moved = links.join(parent.toDF("a", "x"), "a").join(parent.toDF("b", "y"), "b").filter("x <> y")
+        links = _thin(moved.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 # Kinds of relation that are followed first, in order.

@@ -132,11 +132,14 @@ def redundancy_clusters(spark, d):
 
 
 def _trade_clusters(spark, d):
-    """Components of the edges customer -> supplier of all lines."""
+    """Components of the edges customer -> supplier of all lines. Nodes are numbers, even for customers and odd for
+    suppliers, until each component is named by the smallest of its nodes' names."""
     e = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    e = e.select(F.concat(F.lit("c"), F.col("o_custkey")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst")).distinct()
-    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node")))
-    return graph.connected_components(nodes, e)
+    e = e.select((F.col("o_custkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst"))
+    kind = F.when(F.col("node") % 2 == 0, "c").otherwise("s")
+    x = graph.connected_components(None, e).withColumn("name", F.concat(kind, F.shiftright("node", 1)))
+    least = x.groupBy("component").agg(F.min("name").alias("least"))
+    return x.join(least, "component", "left").select(F.col("name").alias("node"), F.col("least").alias("component"))
 
 
 @query("referential_anti", """select 'orders' as source, cast(o_orderkey as bigint) as id from orders where o_custkey not in (select c_custkey from customer) union all select 'unsold', o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem) union all select 'lineitem', l_orderkey from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'labels', doc_id from labels where doc_id not in (select doc_id from documents)""")

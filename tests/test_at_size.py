@@ -56,3 +56,31 @@ def test_anti_joins_hold_no_distinct_nodes(spark):
     nodes = spark.createDataFrame([(5,), (5,), (None,)], "n long")
     got = graph.dangling(edges, "to", nodes, "n")
     assert {r.id for r in got.collect()} == {2, 3} and "Aggregate" not in plan(got)
+
+
+def test_links_are_thinned_before_rounds(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sievestone.operators import graph
+
+    rng = random.Random(6)
+    # Groups of 40 nodes and chains, some nodes alone, links to nothing, links to themselves.
+    pairs = [(g * 40 + rng.randrange(40), g * 40 + rng.randrange(40)) for g in range(20) for _ in range(300)] + [(i, i + 1) for i in range(2000, 2100)] + [(3000, 3000), (3001, None), (None, None)]
+    want = {x: x for p in pairs for x in p}
+    while changed := [p for p in pairs if None not in p and want[p[0]] != want[p[1]]]:
+        for a, b in changed:
+            want[a] = want[b] = min(want[a], want[b])
+    for held in (4_000_000, 64):
+        monkeypatch.setattr(graph, "HELD", held)
+        parts = [pa.table(list(map(pa.array, zip(*pairs[i : i + 50], strict=True))), pa.schema([("a", pa.int64()), ("b", pa.int64())])).to_batches() for i in range(0, len(pairs), 50)]
+        thin = [r for b in graph._thinned(x for p in parts for x in p) for r in b.to_pylist()]
+        assert len(thin) < (1000 if held > 64 else len(pairs) + 1)
+        assert {v for r in thin for v in r.values()} == set(want)
+    assert len(graph._stars(pa.Table.from_batches([x for p in parts for x in p]))) <= len(want)
+    for kind in ("long", "string"):
+        name = (lambda x: x) if kind == "long" else lambda x: x if x is None else f"n{x:05}"
+        df = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"src {kind}, dst {kind}").repartition(5)
+        assert {r.node: r.component for r in graph.connected_components(None, df).collect()} == {name(k): name(v) for k, v in want.items()}
+    # A node that is not asked for links nothing.
+    ends, path = spark.createDataFrame([(1,), (3,)], "node long"), spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    assert {tuple(r) for r in graph.connected_components(ends, path).collect()} == {(1, 1), (3, 3)}
