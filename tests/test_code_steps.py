@@ -98,3 +98,11 @@ def test_picks_and_profiles_match_plain_versions(spark):
         part = lambda a, b: max(0, min(a[5], b[5]) - max(a[4], b[4]) + 1) / (min(a[5] - a[4], b[5] - b[4]) + 1) if a[3] == b[3] else 0
         assert got[q].overlap == pytest.approx(sum(part(*p) for p in pairs) / len(pairs) if pairs else 0) and got[q].slope == pytest.approx(slope[q])
         assert got[q].dispersion == pytest.approx(len({r[3] for r in top}) / len(top))
+
+
+def test_claims_are_made_where_queries_are_dealt(spark):
+    q = spark.createDataFrame([(i, f"trace the OrderBook flow {i}, or entries") for i in range(9)], "query_id long, q string").coalesce(1)
+    claims = op.claim_packets(q)
+    # One file of questions is one task: they are read after the exchange.
+    assert "Exchange" in plan(claims).split("Generate", 1)[1]
+    assert {(r.query_id, r.claim_id) for r in claims.collect()} == {(i, c) for i in range(9) for c in ("C1", "C2")}
