@@ -106,3 +106,24 @@ def test_claims_are_made_where_queries_are_dealt(spark):
     # One file of questions is one task: they are read after the exchange.
     assert "Exchange" in plan(claims).split("Generate", 1)[1]
     assert {(r.query_id, r.claim_id) for r in claims.collect()} == {(i, c) for i in range(9) for c in ("C1", "C2")}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_sizes_of_blocks_need_no_texts(spark):
+    from sievestone.plans import _code, catalogue
+
+    text = {r.block_id: (r.file, r.symbol, len(r.content)) for r in _code.code_blocks(spark, SF).collect()}
+    assert {r.block_id: (r.file, r.symbol, r.n_chars) for r in _code.code_sizes(spark, SF).collect()} == text
+    for name in ("signal_profile", "adaptive_weights"):
+        # Lines are not brought together, and candidates are sorted for ranks, for what else they are ranked by, for files and for levels.
+        p = plan(catalogue.QUERIES[name](spark, SF))
+        assert "collect_list" not in p and p.count("Sort [query_id") <= 4
+
+
+def test_margin_of_ties_and_nothing(spark):
+    rows = [(1, 1, 0.5, 2), (1, 2, 0.5, 1), (1, 3, 0.1, 3), (2, 1, 0.8, 2), (2, 2, None, 1), (3, 1, 0.9, 1), (4, 1, 0.8, 1), (4, 2, 0.2, 2), (5, 1, 0.0, 1), (5, 2, -1.0, 2)]
+    x = spark.createDataFrame([(q, b, s, r, 9.0 - r, 1.0 * b, "f", "fine") for q, b, s, r in rows], "query_id long, block_id long, score double, rank int, bm double, vec double, file string, level string")
+    for at in (None, "rank"):
+        got = {r.query_id: (r.margin, r.correlation) for r in op.signal_profile(x, at=at).collect()}
+        assert {q: m for q, (m, _) in got.items()} == {1: 0.0, 2: None, 3: 1.0, 4: pytest.approx(0.75), 5: 0.0}
+        assert got[2][1] == pytest.approx(1.0) and got[4][1] == pytest.approx(-1.0)
