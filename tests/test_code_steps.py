@@ -127,3 +127,26 @@ def test_margin_of_ties_and_nothing(spark):
         got = {r.query_id: (r.margin, r.correlation) for r in op.signal_profile(x, at=at).collect()}
         assert {q: m for q, (m, _) in got.items()} == {1: 0.0, 2: None, 3: 1.0, 4: pytest.approx(0.75), 5: 0.0}
         assert got[2][1] == pytest.approx(1.0) and got[4][1] == pytest.approx(-1.0)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_pairs_and_files_need_no_table_of_all(spark, tmp_path):
+    from sievestone.plans import _code, catalogue
+
+    # Neither pairs nor the files of a query are keys of a hash table, and lines are not grouped to know a block.
+    keys = [x.split("functions")[0] for x in plan(catalogue.QUERIES["synthesis_profile"](spark, SF)).split("\n") if "Aggregate" in x]
+    assert keys and not any(c in x for x in keys for c in ("file#", "block_id#", "l_orderkey#"))
+    rows = [(1, 7, 5.0, 1.0, 0.1), (1, 7, 9.0, None, 0.0), (1, 7, 2.0, 3.0, 0.2), (2, 7, 1.0, None, 0.3), (None, 7, 4.0, 2.0, 0.0), (None, 7, 6.0, 1.0, 0.0), (1, 8, 5.0, 1.0, 0.1)]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in _code.code_pairs(spark, str(tmp_path)).collect()} == {(1, 7, 9.0, 3.0, 2.0), (2, 7, 1.0, None, 3.0), (None, 7, 6.0, 2.0, 0.0), (1, 8, 5.0, 1.0, 1.0)}
+
+
+def test_files_of_the_first_blocks_are_counted_once(spark):
+    rng = random.Random(9)
+    rows = [(q, i + 1, rng.choice(["a", "b", "c", None]), rng.random()) for q in range(8) for i in range(1 + 7 * q)]
+    x = spark.createDataFrame(rows, "query_id long, rank int, file string, base double")
+    asked = spark.createDataFrame([(q, "stock of parts") for q in range(8)], "query_id long, q string")
+    got = {r.query_id: r.dispersion for r in op.synthesis_profile(x, asked, "base", F.lit(0.0) * F.count("*"), top=20).collect()}
+    for q in range(8):
+        top = [f for k, r, f, _ in rows if k == q and r <= 20]
+        assert got[q] == pytest.approx(len({f for f in top if f}) / len(top))
